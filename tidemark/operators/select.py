@@ -19,10 +19,9 @@ def _medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return found.select(*keys, *[F.col(c).alias(f"_median_{c}") for c in columns])
 
 
-def _filled(df: DataFrame, columns: list[str], last_resort: float | None = None) -> DataFrame:
+def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
     def fill(c: str):
-        choices = [F.col(c).cast("double"), F.col(f"_median_{c}")]
-        return F.coalesce(*choices, *([] if last_resort is None else [F.lit(last_resort)])).alias(c)
+        return F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")).alias(c)
 
     return df.select(*[fill(c) if c in columns else F.col(c) for c in df.columns if not c.startswith("_median_")])
 
@@ -30,8 +29,9 @@ def _filled(df: DataFrame, columns: list[str], last_resort: float | None = None)
 def impute_group_median(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Fill with the median of the group, then with the median of the column so filled."""
     grouped = keep(_filled(attach(df, _medians(df, keys, columns), keys), columns), "imputed")
-    whole = _medians(grouped, [], columns)
-    return _filled(grouped.join(keep(whole, "stats"), how="left"), columns).select(*df.columns)
+    whole = exact_quantiles(grouped, [], columns, 0.5).first()
+    known = {c: m for c, m in (whole.asDict() if whole else {}).items() if m is not None}
+    return apply_medians(grouped, known).select(*df.columns)
 
 
 def fit_medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -57,6 +57,15 @@ def correlation_matrix(df: DataFrame, columns: list[str]):
     return Correlation.corr(vectors, "_vector").first()[0].toArray()
 
 
+def correlation_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of every column pair as rows (a, b, r); a size set by the column count."""
+    matrix = correlation_matrix(df, columns)
+    rows = [
+        (columns[i], columns[j], float(matrix[i][j])) for i in range(len(columns)) for j in range(i + 1, len(columns))
+    ]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
 def low_variance(variances: dict[str, float | None], limit: float = config.VARIANCE_LIMIT) -> list[str]:
     return [c for c, v in variances.items() if v is None or v < limit]
 

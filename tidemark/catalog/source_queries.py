@@ -506,9 +506,9 @@ def extract_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_records",
     f"""SELECT CAST(entity AS VARCHAR) AS player_id, name, CASE segment WHEN 'BUILDING' THEN 'FW' ELSE segment END AS position,
-               orders AS games, orders * 100 AS minutes, coalesce(urgent, 0) AS goals, finished AS npg,
+               orders AS games, orders * 97 AS minutes, coalesce(urgent, 0) AS goals, finished AS npg,
                coalesce(quantity, 0) AS xg, returned AS xg_chain,
-               round(coalesce(quantity, 0) / (orders * 100 / 90.0::DOUBLE), 2) AS xg_per90,
+               round(coalesce(quantity, 0) / (orders * 97 / 90.0::DOUBLE), 2) AS xg_per90,
                round(urgent - coalesce(quantity, 0), 2) AS xg_overperformance, period FROM ({E_SQL}) AS e""",
     texts="player_id name position",
     ints="period games minutes goals npg",
@@ -517,7 +517,7 @@ def extract_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script with an array of one record, all values text, per customer and year."""
     fields = {
-        "id": "entity", "player_name": "name", "games": "orders", "time": "orders * 100", "goals": "urgent",
+        "id": "entity", "player_name": "name", "games": "orders", "time": "orders * 97", "goals": "urgent",
         "xG": "quantity", "position": "CASE segment WHEN 'BUILDING' THEN 'F S' ELSE segment END", "npg": "finished",
         "xGChain": "returned",
     }

@@ -23,10 +23,14 @@ def _blank_to_null(text: Column) -> Column:
     return F.when((trimmed != "") & (trimmed != "-"), trimmed)
 
 
+def number_text(text: Column) -> Column:
+    """Text of a number without commas; blank and '-' are NULL."""
+    return F.regexp_replace(_blank_to_null(text), ",", "")
+
+
 def parse_number(text: Column, as_int: bool = False) -> Column:
     """'1,234' to 1234; blank, '-' and unparsable text to NULL; integer mode rejects '31.7'."""
-    cleaned = F.regexp_replace(_blank_to_null(text), ",", "")
-    return cleaned.try_cast("int" if as_int else "double")
+    return number_text(text).try_cast("int" if as_int else "double")
 
 
 def parse_money(text: Column) -> Column:

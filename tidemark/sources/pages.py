@@ -17,12 +17,11 @@ from tidemark.functions.scalar import (
     parse_date,
     parse_height_cm,
     parse_money,
-    parse_number,
+    number_text,
     rounded_rate,
     safe_cast,
     short_code,
 )
-from tidemark.operators.unify import merge_overwrite
 from tidemark.sources import config
 from tidemark.sources.tables import COUNTS_SCHEMA
 
@@ -58,9 +57,9 @@ def uncomment_tables(html: Column) -> Column:
 
 def text_of(html: Column) -> Column:
     """Text without tags and outer blanks, character references resolved."""
-    plain = F.regexp_replace(html, r"<[^>]*>", "")
+    plain = F.when(html.contains("<"), F.regexp_replace(html, r"<[^>]*>", "")).otherwise(html)
     resolved = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), REFERENCES.items(), plain)
-    return F.regexp_replace(resolved, r"^\s+|\s+$", "")
+    return F.trim(F.when(plain.contains("&"), resolved).otherwise(plain), F.lit(" \t\r\n\f\u00a0"))
 
 
 def table_body(html: Column, attribute: str, value: str) -> Column:
@@ -76,67 +75,94 @@ def table_rows(pages: DataFrame, body: Column) -> DataFrame:
     return exploded.where(~F.col("row_html").rlike(r'^<tr\b[^>]*class="[^"]*\bthead\b'))
 
 
-def with_cells(rows: DataFrame) -> DataFrame:
-    """Add the names and inner HTML of the ``data-stat`` cells of each row."""
-    cell = F.lit(r'(?s)<t[hd]\b[^>]*\bdata-stat="([^"]*)"[^>]*>(.*?)</t[hd]>')
-    return rows.withColumns(
+def link_text(html: Column) -> Column:
+    return text_of(extract(html, r"(?s)(<a\b.*?</a>)"))
+
+
+def player_rows(pages: DataFrame, tables: list[str]) -> DataFrame:
+    """Rows of the named stat tables in one pass over the pages.
+
+    Columns: the page columns, ``table``, ``row_no``, ``player_id`` from the player link, and for the
+    ``data-stat`` cells of the row their names, inner HTML and number texts. Rows without a link are
+    skipped, and rows of the standard table with fewer than ten cells.
+    """
+    kept = [c for c in pages.columns if c != "html"]
+    visible = pages.withColumn("html", uncomment_tables(F.col("html")))
+    bodies = F.array(
+        *[F.struct(F.lit(t).alias("table"), table_body(F.col("html"), "id", t).alias("_body")) for t in tables]
+    )
+    found = visible.select(*kept, F.inline(bodies)).where(F.col("_body").isNotNull())
+    rows = table_rows(found, F.col("_body")).drop("_body")
+    pattern = F.lit(r'(?s)<t[hd]\b[^>]*\bdata-stat="([^"]*)"[^>]*>(.*?)</t[hd]>')
+    cells = rows.withColumns(
         {
-            "_names": F.regexp_extract_all("row_html", cell, F.lit(1)),
-            "_cells": F.regexp_extract_all("row_html", cell, F.lit(2)),
+            "names": F.regexp_extract_all("row_html", pattern, F.lit(1)),
+            "cells": F.regexp_extract_all("row_html", pattern, F.lit(2)),
+            "_count": F.size(F.regexp_extract_all("row_html", F.lit(r"(<t[hd]\b)"), F.lit(1))),
         }
     )
+    player = F.get("cells", (F.array_position("names", "player") - 1).cast("int"))
+    linked = cells.withColumn("player_id", extract(player, rf'href="[^"]*{PLAYER_ID}'))
+    numbers = F.transform("cells", lambda html: number_text(text_of(html)))
+    return linked.where(
+        F.col("player_id").isNotNull() & ((F.col("table") != "stats_standard") | (F.col("_count") >= 10))
+    ).select(*kept, "table", "row_no", "player_id", "names", "cells", numbers.alias("numbers"))
 
 
-def cell(name: str) -> Column:
-    """Inner HTML of the first cell of that name, NULL where the row has none."""
-    return F.get("_cells", (F.array_position("_names", name) - 1).cast("int"))
+def _value(row: str, field: str, name: str) -> Column:
+    """Entry of the first cell of that name in a row struct, NULL where the row has none."""
+    place = (F.array_position(F.col(f"{row}.names"), name) - 1).cast("int")
+    return F.get(F.col(f"{row}.{field}"), place)
 
 
-def link_text(html: Column) -> Column:
-    return text_of(extract(html, r"(?s)(<a\b.*?</a>)"))
+def _stat(row: str, name: str) -> Column:
+    return _value(row, "numbers", name).try_cast("int" if _NUMBERS[name] else "double")
 
 
-def stat_table(pages: DataFrame, table: str, least_cells: int = 0) -> DataFrame:
-    """Rows of one stat table with typed numbers, keyed by the id in the player link.
+def _identity(row: str) -> list[Column]:
+    player, nation, position, team = [_value(row, "cells", c) for c in ("player", "nationality", "position", "team")]
+    return [
+        link_text(player).alias("name"),
+        link_text(nation).alias("nationality"),
+        text_of(position).alias("position"),
+        F.coalesce(link_text(team), text_of(team)).alias("team"),
+    ]
 
-    Rows without a link and rows with too few cells are skipped.
-    """
-    body = table_body(uncomment_tables(F.col("html")), "id", table)
-    rows = with_cells(table_rows(pages, body))
-    linked = rows.withColumn("player_id", extract(cell("player"), rf'href="[^"]*{PLAYER_ID}'))
-    linked = linked.where(F.col("player_id").isNotNull())
-    if least_cells:
-        count = F.size(F.regexp_extract_all("row_html", F.lit(r"(<t[hd]\b)"), F.lit(1)))
-        linked = linked.where(count >= least_cells)
-    shown = [F.col(c) for c in pages.columns if c != "html"]
-    shown += [F.col("row_no"), F.col("player_id")]
-    if table == "stats_standard":
-        shown += [
-            link_text(cell("player")).alias("name"),
-            link_text(cell("nationality")).alias("nationality"),
-            text_of(cell("position")).alias("position"),
-            F.coalesce(link_text(cell("team")), text_of(cell("team"))).alias("team"),
-        ]
-    stats = [parse_number(text_of(cell(c)), _NUMBERS[c]).alias(c) for c in STAT_TABLES[table]]
-    return linked.select(*shown, *stats)
+
+def stat_table(pages: DataFrame, table: str) -> DataFrame:
+    """Rows of one stat table with typed numbers."""
+    kept = [c for c in pages.columns if c != "html"]
+    rows = player_rows(pages, [table]).withColumn("_row", F.struct("names", "cells", "numbers"))
+    identity = _identity("_row") if table == "stats_standard" else []
+    stats = [_stat("_row", c).alias(c) for c in STAT_TABLES[table]]
+    return rows.select(*kept, "row_no", "player_id", *identity, *stats)
 
 
 def counts_records(pages: DataFrame, page_columns: list[str]) -> DataFrame:
-    """All five stat tables of the pages, merged by player; a later table overwrites shared columns."""
-    from tidemark.operators.unify import latest_per_key
+    """All five stat tables of the pages, merged by player; a later table overwrites shared columns.
 
+    One scan and one shuffle: each player keeps the last row of each table, and the columns are read
+    from these at most five rows.
+    """
     key = [*page_columns, "player_id"]
-
-    def table(name: str, least: int = 0) -> DataFrame:
-        rows = stat_table(pages, name, least)
-        last = latest_per_key(rows, key, [F.col("row_no").desc()])
-        marked = last.withColumn("_key", F.struct(*key))
-        return marked.select("_key", *[c for c in last.columns if c not in ("row_no", *key)])
-
-    base = table("stats_standard", 10)
-    others = [table(name) for name in STAT_TABLES if name != "stats_standard"]
-    merged = merge_overwrite(base, others, "_key")
-    return merged.select(*[F.col(f"_key.{k}") for k in key], *[c for c in merged.columns if c != "_key"])
+    row = F.struct("names", "cells", "numbers")
+
+    def last(table: str) -> Column:
+        here = F.col("table") == table
+        return F.max_by(F.when(here, row), F.when(here, F.col("row_no"))).alias(table)
+
+    players = player_rows(pages, list(STAT_TABLES)).groupBy(*key).agg(*[last(t) for t in STAT_TABLES])
+    base, *others = STAT_TABLES
+    values = {c: _stat(base, c) for c in STAT_TABLES[base]}
+    for table in others:
+        for c in STAT_TABLES[table]:
+            if c in values:
+                values[c] = F.when(F.col(table).isNotNull(), _stat(table, c)).otherwise(values[c])
+            else:
+                values[c] = _stat(table, c)
+    return players.where(F.col(base).isNotNull()).select(
+        *key, *_identity(base), *[value.alias(c) for c, value in values.items()]
+    )
 
 
 def listing_records(pages: DataFrame) -> DataFrame:

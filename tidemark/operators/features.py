@@ -285,8 +285,13 @@ def add_history(
     return final.select(*df.columns, *outputs)
 
 
-def engineer(df: DataFrame, entity: str = "player_id", period: str = "season", strict: bool = False) -> DataFrame:
-    """Rates, derived and peer features, growth, history, interactions, league scaling."""
+def engineer(
+    df: DataFrame, entity: str = "player_id", period: str = "season", strict: bool = False, before_interactions=None
+) -> DataFrame:
+    """Rates, derived and peer features, growth, history, interactions, league scaling.
+
+    ``before_interactions`` is a function on the frame, for a model whose output the interactions use.
+    """
     rated = add_derived(add_coefficient(add_rates(df)))
     have = set(rated.columns)
     dated = add_history(
@@ -299,7 +304,8 @@ def engineer(df: DataFrame, entity: str = "player_id", period: str = "season", s
         count_name="career_seasons",
         strict=strict,
     )
-    combined = add_where_present(dated, interaction_formulas())
+    ready = before_interactions(dated) if before_interactions else dated
+    combined = add_where_present(ready, interaction_formulas())
     return scale_by_coefficient(combined, config.ADJUSTED_COLUMNS, F.col("_coefficient")).drop("_coefficient")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import start_year
 from tidemark.sources import config
 
 
@@ -18,25 +19,29 @@ def forward_label(
     target: list[str],
     years: int = config.LOOKFORWARD_YEARS,
     min_exposure: float = config.MIN_TARGET_MINUTES,
+    period: str | None = None,
 ) -> DataFrame:
     """Label source-tier rows: does the entity reach a target tier within the next ``years``?
 
     1 if it does with enough exposure, 0 if not and the window is complete, dropped otherwise. The
-    earliest (year, tier) is reported. Qualifying rows are reduced to one per (entity, year), turned
+    earliest (year, tier) is reported, with ``period`` also the text of that period. Qualifying rows are reduced to one per (entity, year), turned
     into the at most ``years`` earlier years they answer, and met with an equi-join: no self-join by
     entity, no window over the rows of an entity.
     """
     hits = (
         df.where(F.col(tier).isin(target) & (F.col(exposure) >= min_exposure))
         .groupBy(entity, year)
-        .agg(F.min(tier).alias("_tier"))
+        .agg(F.min(F.struct(F.col(tier).alias("tier"), F.col(period or year).alias("period"))).alias("_at"))
     )
     answers = (
-        hits.withColumn("_hit", F.struct(F.col(year).alias("target_year"), F.col("_tier").alias("target_tier")))
+        hits.withColumn("_hit", F.struct(F.col(year).alias("target_year"), F.col("_at")))
         .select(entity, F.explode(F.sequence(F.col(year) - years, F.col(year) - 1)).alias(year), "_hit")
         .groupBy(entity, year)
         .agg(F.min("_hit").alias("_hit"))
     )
+    found_at = {"target_tier": F.col("_hit._at.tier"), "target_year": F.col("_hit.target_year")}
+    if period:
+        found_at["target_period"] = F.col("_hit._at.period")
     last_year = df.agg(F.max(year)).scalar()
     found = F.col("_hit").isNotNull()
     label = F.when(found, 1).when(F.col(year) + years <= last_year, 0)
@@ -45,7 +50,7 @@ def forward_label(
         .join(answers, on=[entity, year], how="left")
         .withColumn("label", label)
         .where(F.col("label").isNotNull())
-        .withColumns({"target_tier": F.col("_hit.target_tier"), "target_year": F.col("_hit.target_year")})
+        .withColumns(found_at)
         .drop("_hit")
     )
 
@@ -55,6 +60,29 @@ def attach_labels(enriched: DataFrame, labels: DataFrame, keys: list[str], colum
     return enriched.join(labels.select(*keys, *columns), on=keys, how="inner")
 
 
+def season_labels(counts: DataFrame) -> DataFrame:
+    """Labels of the default profile: feeder-league seasons that lead to a season in a target league."""
+    dated = counts.withColumn("_year", start_year(F.col("season")))
+    found = forward_label(
+        dated,
+        "player_id",
+        "league",
+        "_year",
+        "minutes",
+        config.league_names("source"),
+        config.league_names("target"),
+        period="season",
+    )
+    renamed = {"target_tier": "breakout_league", "target_period": "breakout_season"}
+    return found.withColumnsRenamed(renamed).drop("_year", "target_year")
+
+
+def generate_labels(counts: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Enriched rows with their label; the history behind it is all of ``counts``."""
+    keys = ["player_id", "league", "season"]
+    return attach_labels(enriched, season_labels(counts), keys, ["label", "breakout_league", "breakout_season"])
+
+
 def label_totals(labels: DataFrame) -> DataFrame:
     return labels.agg(
         F.count(F.lit(1)).alias("observations"),

@@ -128,14 +128,15 @@ def single_class_periods(labels: DataFrame, period: str) -> DataFrame:
 
 
 def walk_forward_folds(df: DataFrame, year: Column, folds: list[tuple] | None = None) -> DataFrame:
-    """One row per (row, fold it belongs to) with columns ``fold`` and ``split``.
+    """One row per (row, fold, split it belongs to) with columns ``fold`` and ``split``.
 
-    The few folds are expressions on the row: no join and no shuffle.
+    A badly chosen fold may place a row in two splits; the leakage report then says so. The few folds are expressions on the row: no join and no shuffle.
     """
     places = []
     for fold, train_end, validation, test in folds or config.FOLDS:
-        split = F.when(year <= train_end, "train").when(year == validation, "val").when(year == test, "test")
-        places.append(F.when(split.isNotNull(), F.struct(F.lit(fold).alias("fold"), split.alias("split"))))
+        members = {"train": year <= train_end, "val": year == validation, "test": year == test}
+        for split, member in members.items():
+            places.append(F.when(member, F.struct(F.lit(fold).alias("fold"), F.lit(split).alias("split"))))
     placed = F.filter(F.array(*places), lambda place: place.isNotNull())
     return df.withColumn("_place", F.explode(placed)).select(*df.columns, "_place.fold", "_place.split")
 

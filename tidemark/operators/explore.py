@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tidemark.operators.order_stats import long_values, row_numbers, running_totals
 
 QUERIES_PER_PASS = 1024
-CANDIDATE_SLICES = 64
+ROWS_PER_SLICE = 50_000
 
 
 def ranked(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
@@ -114,12 +114,16 @@ def nearest_neighbours(
         near = candidates.mapInPandas(scan, schema)
     else:
         passes = ceil(count / QUERIES_PER_PASS)
-        grid_q = asked.withColumn("_pass", F.pmod(F.xxhash64("query_id"), F.lit(passes))).withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0), F.lit(CANDIDATE_SLICES - 1)))
-        )
-        grid_r = candidates.withColumn("_slice", F.pmod(F.xxhash64(row_id), F.lit(CANDIDATE_SLICES)).cast("int")).withColumn(
-            "_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).cast("long")
-        )
+        slices = max(1, ceil(candidates.count() / ROWS_PER_SLICE))
+
+        def part(key: str, parts: int) -> Column:
+            return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+        def every(parts: int) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+        grid_q = asked.withColumn("_pass", part("query_id", passes)).withColumn("_slice", every(slices))
+        grid_r = candidates.withColumn("_slice", part(row_id, slices)).withColumn("_pass", every(passes))
 
         def cell(asked_here: pd.DataFrame, rows_here: pd.DataFrame) -> pd.DataFrame:
             parts = list(_closest(asked_here, rows_here, row_id, features, n)) if len(rows_here) else []

@@ -14,16 +14,15 @@ LISTED, FALSE_POSITIVES, TOP_FEATURES = 20, 50, 10
 REPORT_KS = [10, 20, 50, 100, 200, 500]
 
 
-def season_reasons() -> Column:
-    """Why a hit may have been missed, from its feature row."""
+def season_reasons(columns: list[str]) -> Column:
+    """Why a hit may have been missed, from its feature row; a column that was pruned gives no reason."""
     low = F.concat(F.lit("low minutes ("), F.col("minutes").cast("int").cast("string"), F.lit(")"))
-    return explore.reasons(
-        [
-            (F.col("age") >= 27, "older (age >= 27)"),
-            (F.col("minutes") < 1000, low),
-            ((F.col("goals_per90") < 0.05) & F.col("position").isin("FW", "FW,MF"), "low goal rate"),
-        ]
-    )
+    checks = {
+        "age": (F.col("age") >= 27, "older (age >= 27)"),
+        "minutes": (F.col("minutes") < 1000, low),
+        "goals_per90": ((F.col("goals_per90") < 0.05) & F.col("position").isin("FW", "FW,MF"), "low goal rate"),
+    }
+    return explore.reasons([check for column, check in checks.items() if column in columns])
 
 
 def validation_report(
@@ -44,7 +43,8 @@ def validation_report(
     """All tables; each is a small result over the whole prediction table."""
     best, worst = [F.col(score).desc(), F.col(tie).asc()], [F.col(score).asc(), F.col(tie).asc()]
     hits = predictions.where(F.col("label") == 1)
-    missed = explore.look_up(explore.top_rows(hits, LISTED, worst), features, [entity, period], [F.col(tie).asc()] if tie in features.columns else [F.col(entity).asc()])
+    first = [F.col(c).asc() for c in (tie, tier, period) if c in features.columns]
+    missed = explore.look_up(explore.top_rows(hits, LISTED, worst), features, [entity, period], first)
     false = explore.top_rows(predictions.where(F.col("label") == 0), FALSE_POSITIVES, best)
     if in_target is None:
         in_target = F.col(tier).isin(config.league_names("target"))
@@ -55,7 +55,7 @@ def validation_report(
     return {
         "top": top,
         "true_positives": explore.top_rows(hits, LISTED, best),
-        "missed": missed.withColumn("reason", season_reasons() if reason is None else reason),
+        "missed": missed.withColumn("reason", season_reasons(missed.columns) if reason is None else reason),
         "thresholds": evaluate.threshold_metrics(predictions, [], score=score),
         "top_k": evaluate.topk_metrics(predictions, [], tie, REPORT_KS, score=score),
         "false_positives": explore.seen_in_target(false, history, entity, in_target, "near_miss"),

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.catalog.base import E_SQL, TIERED_SQL, entity_periods, query, read, tiered_periods
 from tidemark.functions import scalar
 from tidemark.operators import clean, features, select
-from tidemark.sources import config, tables
+from tidemark.shared import keep
+from tidemark.sources import tables
 
 PEERS = ["nation", "segment", "period"]
 
 
+def kept_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in table as a written one, for operators that read it more than once."""
+    return keep(entity_periods(spark, sf_dir), "periods")
+
+
 @query(
     "scan_filter",
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
@@ -204,7 +210,7 @@ def cap_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def peer_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = {"value_above_avg": "value", "quantity_above_avg": "quantity"}
-    return features.add_peer_deviation(entity_periods(spark, sf_dir), PEERS, outputs)
+    return features.add_peer_deviation(kept_periods(spark, sf_dir), PEERS, outputs)
 
 
 @query(
@@ -216,7 +222,7 @@ def peer_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubles="expected residual",
 )
 def naive_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.add_expected(entity_periods(spark, sf_dir), PEERS, "value", "orders", "expected", "residual")
+    return features.add_expected(kept_periods(spark, sf_dir), PEERS, "value", "orders", "expected", "residual")
 
 
 @query(
@@ -229,7 +235,7 @@ def naive_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def yoy_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     growth = {"value_growth": "value", "quantity_growth": "quantity"}
-    return features.add_history(entity_periods(spark, sf_dir), "entity", "period", ["orders"], growth=growth)
+    return features.add_history(kept_periods(spark, sf_dir), "entity", "period", ["orders"], growth=growth)
 
 
 @query(
@@ -261,7 +267,7 @@ def growth_across_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expanding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = {"mean_value": ("mean", "value"), "max_value": ("max", "value"), "mean_returned": ("mean", "returned")}
     return features.add_history(
-        entity_periods(spark, sf_dir), "entity", "period", ["orders"], history=history, count_name="seen"
+        kept_periods(spark, sf_dir), "entity", "period", ["orders"], history=history, count_name="seen"
     )
 
 
@@ -294,7 +300,7 @@ def expanding_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubles="returned quantity",
 )
 def impute_group_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.impute_group_median(entity_periods(spark, sf_dir), PEERS, ["returned", "quantity"])
+    return select.impute_group_median(kept_periods(spark, sf_dir), PEERS, ["returned", "quantity"])
 
 
 @query(
@@ -328,7 +334,7 @@ _PAIRS = [("orders", "value"), ("orders", "finished"), ("value", "finished"), ("
 )
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["orders", "value", "finished", "urgent"]
-    return select.correlation_table(entity_periods(spark, sf_dir), columns)
+    return select.correlation_table(kept_periods(spark, sf_dir), columns)
 
 
 @query(
@@ -340,7 +346,7 @@ def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubles="returned quantity",
 )
 def train_median_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entity_periods(spark, sf_dir)
+    rows = kept_periods(spark, sf_dir)
     medians = select.fit_medians(rows.where(F.col("period") <= 1997), ["returned", "quantity"])
     return select.apply_medians(rows, medians)
 
@@ -380,6 +386,6 @@ def scalar_misc(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def peer_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which entities beat their peers most in a period?"""
-    rated = features.add_rates(entity_periods(spark, sf_dir), ["value"], "orders", "_per_order", 2)
+    rated = features.add_rates(kept_periods(spark, sf_dir), ["value"], "orders", "_per_order", 2)
     compared = features.add_peer_deviation(rated, PEERS, {"above": "value_per_order"})
     return compared.orderBy(F.col("above").desc(), "entity", "period").limit(20)

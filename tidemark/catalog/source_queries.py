@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.base import E_SQL, SCORED_SQL, TIERED_SQL, entity_periods, query, read, scored, tiered_periods
 from tidemark.functions import scalar
 from tidemark.operators import clean, features, match, quality, unify
+from tidemark.shared import keep
 from tidemark.sources import pages
 
 _LATEST = "l_shipdate DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
@@ -47,24 +48,32 @@ def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _three_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ordered, shipped and returned goods per customer and year: three sources that overlap in part."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    lines = read(spark, sf_dir, "lineitem").join(
-        orders.select("o_orderkey", "o_custkey"), on=F.col("l_orderkey") == F.col("o_orderkey")
+    sold = (
+        read(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey", F.year("l_shipdate").alias("season"))
+        .agg(
+            F.sum("l_quantity").alias("quantity"),
+            F.sum("l_extendedprice").alias("amount"),
+            F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returned"),
+        )
+        .join(orders.select("o_orderkey", "o_custkey"), on=F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy(F.col("o_custkey").alias("id"), "season")
+        .agg(
+            F.sum("quantity").alias("quantity"),
+            F.round(F.sum("amount"), 2).alias("amount"),
+            F.sum("returned").alias("returned"),
+        )
     )
+    lines = keep(sold, "lines")
     customers = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("team")
     )
     ordered = orders.groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("season")).agg(
         F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("amount")
     )
-    shipped = lines.groupBy(F.col("o_custkey").alias("id"), F.year("l_shipdate").alias("season")).agg(
-        F.sum("l_quantity").alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("amount")
-    )
-    returned = (
-        lines.where("l_returnflag = 'R'")
-        .groupBy(F.col("o_custkey").alias("id"), (F.year("l_shipdate") + 1).alias("season"))
-        .agg(F.sum("l_quantity").alias("returned"))
-    )
-    a = ordered.join(customers, on="id")
+    shipped = lines.select("id", "season", "quantity", "amount")
+    returned = lines.where("returned IS NOT NULL").select("id", (F.col("season") + 1).alias("season"), "returned")
+    a = keep(ordered.join(customers, on="id"), "ordered")
     b = shipped.join(customers, on="id").withColumns({"name": F.upper("name"), "team": F.initcap("team")})
     c = returned.join(customers, on="id").withColumn("name", F.lower("name"))
     return a, b, c
@@ -415,7 +424,8 @@ def stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         table("stats_possession", possession),
         F.lit("</body></html>"),
     )
-    return entity_periods(spark, sf_dir).select((F.col("entity") * 10000 + F.col("period")).alias("page_id"), html.alias("html"))
+    stand_ins = entity_periods(spark, sf_dir).select((F.col("entity") * 10000 + F.col("period")).alias("page_id"), html.alias("html"))
+    return keep(stand_ins.repartition(spark.sparkContext.defaultParallelism, "page_id"), "pages")
 
 
 @query(

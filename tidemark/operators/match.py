@@ -92,27 +92,25 @@ def profiles(df: DataFrame, blocks: list[str], name: str, team: str) -> DataFram
     return df.withColumns({"_name": normalize_name(F.col(name)), "_team": normalize_name(F.col(team))})
 
 
-def _scored_pairs(left: DataFrame, right: DataFrame, blocks: list[str], ratio: float) -> DataFrame:
-    """Profile pairs whose names reach ``ratio``, each once, with their record score."""
-    a = left.select(*blocks, "_name", "_team", _letters("_name").alias("_a"), F.explode(_keys(F.col("_name"), ratio, True)).alias("_key"))
-    b = right.select(
-        *blocks,
-        F.col("_name").alias("_rname"),
-        F.col("_team").alias("_rteam"),
-        "_rid",
-        _letters("_name").alias("_b"),
-        F.explode(_keys(F.col("_name"), ratio, False)).alias("_key"),
-    )
+def similar_names(left: DataFrame, right: DataFrame, blocks: list[str], ratio: float) -> DataFrame:
+    """Pairs of distinct names of one block that reach ``ratio``, each once, with their similarity."""
+    a = left.select(*blocks, "_name").distinct()
+    b = right.select(*blocks, F.col("_name").alias("_rname")).distinct()
+    a = a.withColumns({"_a": _letters("_name"), "_keys": _keys(F.col("_name"), ratio, True)})
+    b = b.withColumns({"_b": _letters("_rname"), "_keys": _keys(F.col("_rname"), ratio, False)})
+    a = a.select(*blocks, "_name", "_a", F.explode("_keys").alias("_key"))
+    b = b.select(*blocks, "_rname", "_b", F.explode("_keys").alias("_key"))
     enough = 2 * F.size(F.array_intersect("_a", "_b")) >= F.lit(ratio - 1e-9) * (F.size("_a") + F.size("_b"))
-    pairs = (
-        a.join(b, on=[*blocks, "_key"])
-        .where(enough)
-        .select(*blocks, "_name", "_team", "_rname", "_rteam", "_rid")
-        .dropDuplicates([*blocks, "_name", "_team", "_rname", "_rteam"])
-    )
-    alike = pairs.withColumn("_similarity", similarity("_name", "_rname")).where(
+    pairs = a.join(b, on=[*blocks, "_key"]).where(enough).select(*blocks, "_name", "_rname").distinct()
+    return pairs.withColumn("_similarity", similarity("_name", "_rname")).where(
         F.col("_similarity") >= 100 * ratio - 1e-9
     )
+
+
+def _scored_pairs(left: DataFrame, right: DataFrame, blocks: list[str], ratio: float) -> DataFrame:
+    """Profile pairs whose names reach ``ratio``, with their record score."""
+    offered = right.select(*blocks, F.col("_name").alias("_rname"), F.col("_team").alias("_rteam"), "_rid")
+    alike = similar_names(left, right, blocks, ratio).join(left, on=[*blocks, "_name"]).join(offered, on=[*blocks, "_rname"])
     return alike.withColumn("_score", record_score(F.col("_similarity"), similarity("_team", "_rteam")))
 
 

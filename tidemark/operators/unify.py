@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import keep
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key in the given order.
@@ -61,6 +63,7 @@ def unify_three(
 
     first, second, third = prefixed(a, "a"), prefixed(b, "b"), prefixed(c, "c")
     pair = full_outer(first, second, list(zip(keys(lambda k: F.col(f"a_{k}")), keys(lambda k: F.col(f"b_{k}")))))
+    pair = keep(pair, "pair")  # both halves of the next join read it
     merged = keys(lambda k: F.coalesce(F.col(f"a_{k}"), F.col(f"b_{k}")))
     whole = full_outer(pair, third, list(zip(merged, keys(lambda k: F.col(f"c_{k}")))))
     return whole.select(

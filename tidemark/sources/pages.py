@@ -17,7 +17,6 @@ from tidemark.functions.scalar import (
     parse_date,
     parse_height_cm,
     parse_money,
-    number_text,
     rounded_rate,
     safe_cast,
     short_code,
@@ -62,6 +61,11 @@ def text_of(html: Column) -> Column:
     return F.trim(F.when(plain.contains("&"), resolved).otherwise(plain), F.lit(" \t\r\n\f\u00a0"))
 
 
+def number_in(html: Column) -> Column:
+    """Text of a number without tags and commas. A blank or '-' is no number, and the cast says so."""
+    return F.when(html.contains("<") | html.contains(","), F.regexp_replace(html, "<[^>]*>|,", "")).otherwise(html)
+
+
 def table_body(html: Column, attribute: str, value: str) -> Column:
     """Body of the first table whose attribute contains the value."""
     pattern = rf'(?s)<table\b[^>]*\b{attribute}="[^"]*{value}[^"]*"[^>]*>.*?<tbody[^>]*>(.*?)</tbody>'
@@ -103,7 +107,7 @@ def player_rows(pages: DataFrame, tables: list[str]) -> DataFrame:
     )
     player = F.get("cells", (F.array_position("names", "player") - 1).cast("int"))
     linked = cells.withColumn("player_id", extract(player, rf'href="[^"]*{PLAYER_ID}'))
-    numbers = F.transform("cells", lambda html: number_text(text_of(html)))
+    numbers = F.transform("cells", number_in)
     return linked.where(
         F.col("player_id").isNotNull() & ((F.col("table") != "stats_standard") | (F.col("_count") >= 10))
     ).select(*kept, "table", "row_no", "player_id", "names", "cells", numbers.alias("numbers"))

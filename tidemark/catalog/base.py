@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.label import forward_label
+from tidemark.shared import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,7 +137,7 @@ TIERED_SQL = """
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward_label(
-        tiered_periods(spark, sf_dir), "entity", "tier", "period", "orders", SOURCES, TARGETS, 3, MIN_ORDERS
+        keep(tiered_periods(spark, sf_dir), "tiers"), "entity", "tier", "period", "orders", SOURCES, TARGETS, 3, MIN_ORDERS
     )
 
 

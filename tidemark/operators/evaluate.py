@@ -17,39 +17,50 @@ def _by_score(df: DataFrame, keys: list[str], label: str, score: str) -> DataFra
     )
 
 
+def _ranked(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+    """Distinct scores, highest first, with the positives and negatives so far and in all."""
+    return running_totals(_by_score(df, keys, label, score), keys, [score], ["_pos", "_neg"], descending=True)
+
+
+def _auc() -> Column:
+    """Positives times the negatives they beat, ties counted half; NULL where a class is missing."""
+    beaten = F.col("_neg_all") - F.col("_neg_upto") + F.col("_neg") / 2
+    pairs = F.max("_pos_all").cast("double") * F.max("_neg_all")
+    return F.try_divide(F.sum(F.col("_pos") * beaten), pairs)
+
+
+def _average_precision() -> Column:
+    step = F.col("_pos") * (F.col("_pos_upto") / (F.col("_pos_upto") + F.col("_neg_upto")))
+    return F.when(F.max("_neg_all") > 0, F.try_divide(F.sum(step), F.max("_pos_all")))
+
+
+def _brier(score: str) -> Column:
+    missed = F.col("_pos") * F.pow(F.col(score) - 1, 2) + F.col("_neg") * F.pow(F.col(score), 2)
+    return F.sum(missed) / F.sum(F.col("_pos") + F.col("_neg"))
+
+
 def roc_auc(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve with ties counted half; NULL where only one class occurs."""
-    ranked = running_totals(_by_score(df, keys, label, score), keys, [score], ["_neg"])
-    beaten = F.col("_neg_upto") - F.col("_neg") / 2
-    wins = ranked.groupBy(*keys).agg(
-        F.sum(F.col("_pos") * beaten).alias("_wins"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")
-    )
-    return wins.select(*keys, F.try_divide(F.col("_wins"), F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"))
+    return _ranked(df, keys, label, score).groupBy(*keys).agg(_auc().alias("roc_auc"))
 
 
 def score_curve(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """ROC and precision-recall points at every distinct score, with the base rate."""
-    points = running_totals(_by_score(df, keys, label, score), keys, [score], ["_pos", "_neg"], descending=True)
     tp, fp = F.col("_pos_upto"), F.col("_neg_upto")
     positives, negatives = F.col("_pos_all"), F.col("_neg_all")
-    return points.select(
+    return _ranked(df, keys, label, score).select(
         *keys,
         F.col(score).alias("threshold"),
         F.try_divide(tp, positives).alias("tpr"),
         F.try_divide(fp, negatives).alias("fpr"),
         (tp / (tp + fp)).alias("precision"),
         (positives / (positives + negatives)).alias("base_rate"),
-        F.try_divide(F.col("_pos"), positives).alias("_gain"),
     )
 
 
 def average_precision(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Sum of recall steps times precision over distinct scores, highest first; NULL for one class."""
-    curve = score_curve(df, keys, label, score)
-    one_class = F.min("base_rate").isin(0.0, 1.0)
-    return curve.groupBy(*keys).agg(
-        F.when(~one_class, F.sum(F.col("_gain") * F.col("precision"))).alias("average_precision")
-    )
+    return _ranked(df, keys, label, score).groupBy(*keys).agg(_average_precision().alias("average_precision"))
 
 
 def brier_score(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
@@ -171,25 +182,22 @@ def score_summary(df: DataFrame, keys: list[str], score: str = "score") -> DataF
 def metric_table(
     df: DataFrame, keys: list[str], tie: str, ks: list[int] | None = None, label: str = "label", score: str = "score"
 ) -> DataFrame:
-    """All metrics as rows (keys, metric, value)."""
-    parts = [
-        (roc_auc(df, keys, label, score), {"roc_auc": F.col("roc_auc")}),
-        (average_precision(df, keys, label, score), {"average_precision": F.col("average_precision")}),
-        (brier_score(df, keys, label, score), {"brier_score": F.col("brier_score")}),
-    ]
-    long = [
-        part.select(*keys, F.lit(name).alias("metric"), value.alias("value"))
-        for part, named in parts
-        for name, value in named.items()
-    ]
+    """All metrics as rows (keys, metric, value).
+
+    AUC, average precision and Brier score come from one pass over the distinct scores.
+    """
+    whole = _ranked(df, keys, label, score).groupBy(*keys).agg(
+        _auc().alias("roc_auc"), _average_precision().alias("average_precision"), _brier(score).alias("brier_score")
+    )
     at_k = topk_metrics(df, keys, tie, ks, label, score)
-    for kind in ("precision", "recall"):
-        name = F.concat(F.lit(f"{kind}_at_"), F.col("k").cast("string"))
-        long.append(at_k.select(*keys, name.alias("metric"), F.col(kind).alias("value")))
-    result = long[0]
-    for part in long[1:]:
-        result = result.unionByName(part)
-    return result
+    named = F.array(
+        *[
+            F.struct(F.concat(F.lit(f"{kind}_at_"), F.col("k").cast("string")).alias("metric"), F.col(kind).alias("value"))
+            for kind in ("precision", "recall")
+        ]
+    )
+    wide = whole.unpivot(keys, ["roc_auc", "average_precision", "brier_score"], "metric", "value")
+    return wide.unionByName(at_k.select(*keys, F.inline(named)))
 
 
 def fold_summary(metrics: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS_PER_E_FOLD = 16384
+from tidemark.shared import keep
+
+CELLS_PER_E_FOLD = 4096
 SMALLEST_STEP = 1e-6
 
 
 def value_cell(value: Column) -> Column:
-    """Order-preserving cell number: signed logarithm, 16384 cells for each factor of e."""
+    """Order-preserving cell number: signed logarithm, 4096 cells for each factor of e."""
     v = value.cast("double")
     size = F.floor(F.log1p(F.abs(v) / F.lit(SMALLEST_STEP)) * F.lit(float(CELLS_PER_E_FOLD)))
     return F.when(v < 0, -size).otherwise(size)
@@ -89,8 +91,9 @@ def long_values(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, keys: list[str], columns: list[str], q: float) -> DataFrame:
     """Linear-interpolated quantile ``q`` of each column per group: one row per group.
 
-    Two passes. The first counts the cells of each (group, column). The second keeps only the one or
-    two cells that hold the wanted ranks, so hardly any row is shuffled and no group is collected.
+    Two passes. The first counts the cells of each (group, column) and keeps the one or two that hold
+    the wanted ranks. That table is small and of known size, so the second pass filters the rows by it
+    where they are; hardly any row is shuffled and no group is collected.
     """
     values = long_values(df, keys, columns).withColumn("_cell", value_cell(F.col("value")))
     for key in keys:
@@ -113,7 +116,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], columns: list[str], q: float
         *group, "_cell", "_before", "_lower", "_upper", "_share"
     )
     candidates = (
-        values.join(wanted, on=[*group, "_cell"])
+        values.join(keep(wanted, "cells"), on=[*group, "_cell"])
         .groupBy(*group, "_cell", "_before", "_lower", "_upper", "_share", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

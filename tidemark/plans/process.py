@@ -14,7 +14,7 @@ from tidemark.operators.match import match_sources
 from tidemark.operators.select import select_features
 from tidemark.shared import keep
 from tidemark.sources import config
-from tidemark.sources.tables import write_report, write_table
+from tidemark.sources.tables import without_nan, write_report, write_table
 
 
 def feature_frame(enriched: DataFrame, proxy_path: str | None, rounds: int, strict: bool) -> tuple[DataFrame, dict | None]:
@@ -40,6 +40,7 @@ def process(
 ) -> dict[str, DataFrame]:
     """Run all stages; each stage is written to ``out`` and the next one reads it from there."""
     spark = counts.sparkSession
+    counts, market, expected = without_nan(counts), without_nan(market), without_nan(expected)
 
     def stage(df: DataFrame, name: str) -> DataFrame:
         write_table(df, f"{out}/{name}")

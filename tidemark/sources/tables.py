@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalar import all_of
 from tidemark.operators.unify import upsert
 from tidemark.shared import keep
 
 KEY = ["player_id", "league", "season"]
 PARTITIONS = ["league", "season"]
+LISTED_PARTITIONS = 500
 
 
 def _schema(text: str, required: str = "player_id name league season") -> T.StructType:
@@ -154,7 +157,13 @@ def write_upsert(
             raise
         stored = spark.createDataFrame([], incoming.schema)
     touched = incoming.select(*partitions).distinct()
-    affected = stored.join(F.broadcast(touched) if len(partitions) < 3 else touched, on=partitions, how="left_semi")
+    listed = touched.limit(LISTED_PARTITIONS + 1).collect()
+    if len(listed) <= LISTED_PARTITIONS:
+        # Literal partition values, so that no other partition is read.
+        hit = [all_of([F.col(c).eqNullSafe(F.lit(row[c])) for c in partitions]) for row in listed]
+        affected = stored.where(reduce(lambda a, b: a | b, hit, F.lit(False)))
+    else:
+        affected = stored.join(keep(touched, "touched"), on=partitions, how="left_semi")
     merged = keep(upsert(affected.select(*incoming.columns), incoming, keys), "merged")
     (
         merged.write.mode("overwrite")
@@ -164,6 +173,12 @@ def write_upsert(
     )
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN as NULL, so that means, medians and ranks skip missing values."""
+    doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+
+
 def write_table(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)

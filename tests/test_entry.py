@@ -25,7 +25,7 @@ def database():
 def shown(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return "NULL"
-    return f"{value:.3f}" if isinstance(value, float) else str(value)
+    return f"{value:.4f}" if isinstance(value, float) else str(value)
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))

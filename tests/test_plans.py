@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.process import process
 from tidemark.plans.report import validation_report
-from tidemark.plans.score import prepare, score
+from tidemark.plans.score import load_trained, prepare, score
 from tidemark.plans.train import train
 from tidemark.sources import tables
 
@@ -99,7 +99,7 @@ def test_train_score_report(processed, sources, tmp_path):
     assert spark.read.parquet(f"{out}/fold_3/contributions_a").select(*META).distinct().count() == predictions.where("fold = 3").count()
 
     fresh = result["labeled"].where("season = '2020-2021'").drop("tackles", "label")
-    scored, parts = score(fresh, trained["inputs"], trained["model_a"], trained["model_b"], trained["calibrator"], META, str(tmp_path / "scored"))
+    scored, parts = score(fresh, **load_trained(spark, out, 3), meta=META, out=str(tmp_path / "scored"))
     order = [r["prob_calibrated"] for r in scored.collect()]
     assert order == sorted(order, reverse=True) and len(order) == fresh.count()
     assert parts.count() == fresh.count() * len(trained["inputs"].features)

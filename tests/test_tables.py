@@ -25,7 +25,8 @@ def test_load_refuses_a_missing_key(frame):
 
 def test_upsert_table(spark, frame, tmp_path):
     path = str(tmp_path / "counts")
-    tables.write_upsert(tables.load_records(frame([GAKPO, OTHER], SCHEMA), "counts"), path)
+    assert tables.write_upsert(tables.load_records(frame([GAKPO, OTHER], SCHEMA), "counts"), path) == 2
+    assert tables.write_upsert(tables.load_records(frame([GAKPO], SCHEMA).limit(0), "counts"), path) == 0
     tables.write_upsert(tables.load_records(frame([(*GAKPO[:5], 25)], SCHEMA), "counts"), path)
     tables.write_upsert(tables.load_records(frame([("p3", "N", "T", "serie-b", "2020-2021", 1)], SCHEMA), "counts"), path)
     goals = {r["player_id"]: r["goals"] for r in tables.scan(spark, path).collect()}
@@ -34,6 +35,11 @@ def test_upsert_table(spark, frame, tmp_path):
     assert scan.count() == 2 and "PartitionFilters: [isnotnull(league" in scan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_upsert_of_many_partitions(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LISTED_PARTITIONS", 1)
+    test_upsert_table(spark, frame, tmp_path)
+
+
 def test_stream_of_records(spark, frame, tmp_path):
     source, path = str(tmp_path / "incoming"), str(tmp_path / "table")
     frame([GAKPO, OTHER], SCHEMA).coalesce(1).write.json(source)
@@ -101,6 +107,18 @@ def test_round_trips(spark, frame, tmp_path):
     assert tables.read_report(spark, f"{tmp_path}/r") == {"kept": ["a"], "n": 1}
 
 
+def test_nan_is_missing(frame):
+    row = tables.without_nan(frame([(float("nan"), 1.0)], "a double, b double")).first()
+    assert tuple(row) == (None, 1.0)
+
+
+def test_kept_tables_can_be_discarded(spark, frame):
+    from tidemark import shared
+
+    kept = shared.keep(frame([(1,)], "n int"))
+    assert kept.count() == 1 and shared.discard_kept(spark) and not shared.discard_kept(spark)
+
+
 def test_league_table(spark):
     rows = {r["slug"]: r for r in config.league_table(spark).collect()}
     assert len(rows) == 13 and rows["serie-b"]["priority"] == 2 and rows["la-liga"]["coefficient"] == 0.95

@@ -9,10 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +77,10 @@ class Inputs:
         return vectors.select(*[c for c in df.columns], "features") if set(self.features) <= set(df.columns) else vectors
 
 
+    def as_report(self) -> dict:
+        return {"features": self.features, "medians": self.medians}
+
+
 def probability(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
@@ -147,6 +156,14 @@ class Calibrator:
         )
         return cls(method, learner.fit(vectors))
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/{self.method}")
+
+    @classmethod
+    def load(cls, path: str, method: str) -> Calibrator:
+        kind = IsotonicRegressionModel if method == "isotonic" else LogisticRegressionModel
+        return cls(method, kind.load(f"{path}/{method}"))
+
     def transform(self, df: DataFrame, score: str, name: str) -> DataFrame:
         columns = [c for c in df.columns if c != name]
         if self.method == "isotonic":

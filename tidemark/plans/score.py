@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.models.attribution import explain
@@ -12,13 +13,25 @@ from tidemark.operators.match import match_sources
 from tidemark.plans.process import feature_frame
 from tidemark.plans.train import score_rows
 from tidemark.shared import keep
-from tidemark.sources.tables import write_csv, write_table
+from tidemark.sources.tables import read_report, write_csv, write_table
 
 # Seasons and leagues that are scored by default.
 SEASONS = ["2023-2024", "2024-2025"]
 LEAGUES = ["championship", "eredivisie", "primeira-liga", "belgian-pro-league"]
 
 
+def load_trained(spark: SparkSession, out: str, fold: int = 3) -> dict[str, object]:
+    """Inputs, both models and the calibrator that training saved for a fold."""
+    folder = f"{out}/fold_{fold}"
+    saved = read_report(spark, f"{folder}/inputs")
+    return {
+        "inputs": Inputs(saved["features"], saved["medians"]),
+        "model_a": GBTClassificationModel.load(f"{folder}/model_a"),
+        "model_b": GBTClassificationModel.load(f"{folder}/model_b"),
+        "calibrator": Calibrator.load(f"{folder}/calibrator", saved["method"]),
+    }
+
+
 def prepare(
     counts: DataFrame, market: DataFrame, expected: DataFrame, proxy_path: str | None,
     seasons: list[str] | None = None, leagues: list[str] | None = None,

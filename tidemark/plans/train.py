@@ -21,7 +21,7 @@ from tidemark.models.learners import (
 from tidemark.operators.evaluate import blend, fold_summary, metric_table
 from tidemark.shared import keep
 from tidemark.sources import config
-from tidemark.sources.tables import write_csv, write_json, write_table
+from tidemark.sources.tables import write_csv, write_json, write_report, write_table
 
 SCORES = {"a": "prob_a", "b": "prob_b", "ensemble": "prob_ensemble", "calibrated": "prob_calibrated"}
 
@@ -90,6 +90,8 @@ def train(
         if out:
             model_a.write().overwrite().save(f"{out}/fold_{n}/model_a")
             model_b.write().overwrite().save(f"{out}/fold_{n}/model_b")
+            calibrator.save(f"{out}/fold_{n}/calibrator")
+            write_report(folds.sparkSession, {**inputs.as_report(), "method": method}, f"{out}/fold_{n}/inputs")
             write_table(explained["contributions_a"], f"{out}/fold_{n}/contributions_a")
             write_table(explained["contributions_b"], f"{out}/fold_{n}/contributions_b")
         last = {"inputs": inputs, "model_a": model_a, "model_b": model_b, "calibrator": calibrator}

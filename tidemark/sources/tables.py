@@ -142,14 +142,17 @@ def load_records(records: DataFrame, source: str) -> DataFrame:
 
 def write_upsert(
     incoming: DataFrame, path: str, keys: list[str] = KEY, partitions: list[str] = PARTITIONS
-) -> None:
+) -> int:
     """Insert or replace by key in a partitioned parquet table; only the touched partitions are rewritten.
 
-    The merged rows are written to the shared folder first, since a table cannot be read and
+    Returns the number of incoming rows, 0 leaves the table as it is. The merged rows are written to the shared folder first, since a table cannot be read and
     overwritten in one job.
     """
     spark = incoming.sparkSession
     incoming = keep(incoming, "incoming")
+    rows = incoming.count()
+    if not rows:
+        return 0
     try:
         stored = spark.read.schema(incoming.schema).parquet(path)
     except Exception as missing:  # the first load finds no table
@@ -171,6 +174,7 @@ def write_upsert(
         .partitionBy(*partitions)
         .parquet(path)
     )
+    return rows
 
 
 def without_nan(df: DataFrame) -> DataFrame:

@@ -165,10 +165,13 @@ LABELLED_SQL = f"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows with a deterministic score that has ties, and a numeric row id."""
+    """Labelled rows with a deterministic score that has ties, and a numeric row id.
+
+    Scores are multiples of 1/997, whose means never end in a rounding tie.
+    """
     return labelled(spark, sf_dir).withColumns(
         {
-            "score": F.round(F.col("value") / (F.col("value") + F.lit(500000.0)), 3),
+            "score": F.round(F.col("value") / (F.col("value") + F.lit(500000.0)) * 997, 0) / 997,
             "row_id": F.col("entity") * 1000
             + (F.col("period") - 1990) * 10
             + F.substring("tier", 1, 1).cast("long"),
@@ -177,7 +180,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED_SQL = f"""
-    SELECT *, round(value / (value + 500000.0), 3) AS score,
+    SELECT *, round(value / (value + 500000.0::DOUBLE) * 997, 0) / 997 AS score,
            entity * 1000 + (period - 1990) * 10 + CAST(left(tier, 1) AS BIGINT) AS row_id
     FROM ({LABELLED_SQL}) AS labelled
 """

@@ -354,7 +354,7 @@ def train_median_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scalar_misc",
     f"""SELECT entity, period, lower(replace(segment, ' ', '-')) AS slug, period - 1960 AS age,
-               greatest(least(value / 100000, 2.0), 0.5) AS clipped, round(value / 7, 2) AS rounded,
+               greatest(least(value / 99991, 2.0), 0.5) AS clipped, round(value / 7, 2) AS rounded,
                coalesce(TRY_CAST(segment AS INT), -1) AS cast_default
         FROM ({E_SQL}) AS e""",
     texts="slug",
@@ -368,7 +368,7 @@ def scalar_misc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "period",
         scalar.slug(F.col("segment")).alias("slug"),
         scalar.age_at(short, F.lit(1960)).alias("age"),
-        scalar.clip(F.col("value") / 100000, 0.5, 2.0).alias("clipped"),
+        scalar.clip(F.col("value") / 99991, 0.5, 2.0).alias("clipped"),
         F.round(F.col("value") / 7, 2).alias("rounded"),
         scalar.safe_cast(F.col("segment"), "int", -1).alias("cast_default"),
     )

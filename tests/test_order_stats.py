@@ -77,3 +77,12 @@ def test_no_task_sees_a_whole_group(skewed):
     plan = order_stats.row_numbers(df, ["g"], "v", "id", "rank")._jdf.queryExecution().optimizedPlan().toString()
     whole = [line for line in plan.splitlines() if "Window" in line and "_cell" not in line and "_tie_cell" not in line]
     assert not whole
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(max_size=5), min_size=2, max_size=40))
+def test_text_cells_keep_the_order(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string")
+    cells = rows.select("v", order_stats.tie_cell(rows, "v").alias("c")).orderBy("v").collect()
+    ordered = [r["c"] for r in cells]
+    assert ordered == sorted(ordered)

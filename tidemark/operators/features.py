@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio, ratio_eps
+from tidemark.operators.order_stats import tie_cell
 from tidemark.shared import attach
 from tidemark.sources import config
 
@@ -210,16 +211,16 @@ def add_history(
     single row has NULL history; ``strict`` also leaves the first row of every entity NULL, so that
     no later row decides what an earlier one shows.
 
-    Rows are sorted only within (entity, period). Each such segment is summed, the sums run forward
-    over the periods of the entity, and what lies before the segment is added to its rows. The window
-    by entity thus sees one row per period, however many rows the entity has.
+    Rows are sorted only within a segment: entity, period and cell of the first tie column. Each
+    segment is summed, the sums run forward over the segments of the entity, and what lies before a
+    segment is added to its rows. No task sorts all rows of an entity, however many it has.
     """
     growth, history = growth or {}, history or {}
-    segment = [entity, period]
+    segment = [entity, period, "_cell"]
     used = sorted({*growth.values(), *[c for _, c in history.values()]})
     inside = Window.partitionBy(*segment).orderBy(*tie)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_i", F.row_number().over(inside) - 1)
+    rows = df.withColumn("_cell", tie_cell(df, tie[0])).withColumn("_i", F.row_number().over(inside) - 1)
 
     def sums(c: str) -> dict[str, Column]:
         value = F.col(c).cast("double")
@@ -234,8 +235,8 @@ def add_history(
     totals = [expr.alias(name) for c in used for name, expr in sums(c).items()]
     segments = rows.groupBy(*segment).agg(F.count(F.lit(1)).alias("_rows"), last, *totals)
 
-    by_period = Window.partitionBy(entity).orderBy(period)
-    earlier = by_period.rowsBetween(Window.unboundedPreceding, -1)
+    by_segment = Window.partitionBy(entity).orderBy(period, "_cell")
+    earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     located = segments.withColumns(
         {
@@ -243,7 +244,7 @@ def add_history(
             "_all": F.sum("_rows").over(Window.partitionBy(entity)),
         }
     )
-    before = [F.lag("_last").over(by_period).alias("_prev"), F.col("_off"), F.col("_all")]
+    before = [F.lag("_last").over(by_segment).alias("_prev"), F.col("_off"), F.col("_all")]
     for c in used:
         before += [
             F.coalesce(F.sum(f"_n_{c}").over(earlier), zero).alias(f"_bn_{c}"),

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.shared import keep
 
 CELLS_PER_E_FOLD = 4096
 SMALLEST_STEP = 1e-6
+CODE_POINTS = 0x110000
 
 
 def value_cell(value: Column) -> Column:
@@ -24,6 +26,14 @@ def value_cell(value: Column) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
+def tie_cell(df: DataFrame, column: str) -> Column:
+    """Order-preserving cell of any orderable column: by value, or by the first three letters of a text."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return F.coalesce(value_cell(F.col(column)), F.lit(-(2**63)))
+    letters = [F.ascii(F.substring(column, i, 1)).cast("long") for i in (1, 2, 3)]
+    return F.coalesce((letters[0] * CODE_POINTS + letters[1]) * CODE_POINTS + letters[2], F.lit(-(2**63)))
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],

@@ -72,11 +72,12 @@ def test_cells_keep_the_order(spark, values):
 
 
 def test_no_task_sees_a_whole_group(skewed):
-    """Windows are partitioned by cell, or run over counts per cell."""
+    """Windows over rows are partitioned by cell; those without are over counts per cell."""
     df, _ = skewed
-    plan = order_stats.row_numbers(df, ["g"], "v", "id", "rank")._jdf.queryExecution().optimizedPlan().toString()
-    whole = [line for line in plan.splitlines() if "Window" in line and "_cell" not in line and "_tie_cell" not in line]
-    assert not whole
+    counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    plan = order_stats.running_totals(counts, ["g"], ["v"], ["n"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_cell" in line for line in windows)
 
 
 @settings(max_examples=15, deadline=None)

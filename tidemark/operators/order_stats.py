@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.shared import keep
+from tidemark.shared import attach, keep
 
 CELLS_PER_E_FOLD = 4096
 SMALLEST_STEP = 1e-6
@@ -75,21 +75,25 @@ def running_totals(
 def row_numbers(
     df: DataFrame, keys: list[str], score: str, tie: str, name: str, descending: bool = True
 ) -> DataFrame:
-    """Number all rows of each group by score, ties by the numeric column ``tie`` upwards.
+    """Number all rows of each group by score, ties by ``tie`` upwards.
 
-    Equal to ``row_number()`` but neither a hot group nor one score shared by very many rows ends up
-    in a single task: equal scores are split further by the cell of the tie column.
+    Equal to ``row_number()``, but the rows are sorted in ranges of (keys, score, tie), so neither a
+    hot group nor one score shared by very many rows ends up in a single task. The sorted table is
+    written, which fixes the place of every row; what is left is an offset for each range and the
+    place where each group begins.
     """
-    rows = df.withColumn("_tie_cell", value_cell(F.col(tie)))
-    counts = rows.groupBy(*keys, score, "_tie_cell").agg(F.count(F.lit(1)).alias("_n"))
-    totals = running_totals(counts, keys, [score, "_tie_cell"], ["_n"], descending)
-    starts = totals.select(*keys, score, "_tie_cell", (F.col("_n_upto") - F.col("_n")).alias("_start"))
-    inside = Window.partitionBy(*keys, score, "_tie_cell").orderBy(tie)
-    return (
-        rows.join(starts, on=[*keys, score, "_tie_cell"])
-        .withColumn(name, F.col("_start") + F.row_number().over(inside))
-        .drop("_tie_cell", "_start")
-    )
+    direction = F.col(score).desc() if descending else F.col(score).asc()
+    ordered = df.orderBy(*keys, direction, F.col(tie).asc()).withColumn("_at", F.monotonically_increasing_id())
+    placed = keep(ordered, "ordered").withColumn("_part", F.shiftrightunsigned("_at", 33))
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    numbered = placed.join(keep(offsets, "offsets"), on="_part").withColumn(name, F.col("_offset") + inside + 1)
+    if keys:
+        begins = numbered.groupBy(*keys).agg((F.min(name) - 1).alias("_begin"))
+        numbered = attach(numbered, begins, keys, "inner").withColumn(name, F.col(name) - F.col("_begin"))
+    return numbered.select(*df.columns, name)
 
 
 def long_values(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:

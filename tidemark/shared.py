@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_KEY = "tidemark.local.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,13 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder: on a cluster a machine-local
     folder would be lost with its executor.
     """
-    configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
+    configured = spark.sparkContext.getConf().get(_CHECKPOINT_KEY) or spark.conf.get(_CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a shared folder before running on a cluster")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
+    folder = spark.conf.get(_LOCAL_KEY, None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set(_LOCAL_KEY, folder)
     return folder
 
 

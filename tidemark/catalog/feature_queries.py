@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import E_SQL, TIERED_SQL, entity_periods, query, read, tiered_periods
@@ -321,7 +321,14 @@ def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("dropped", F.coalesce(F.col("variance") < 5000, F.lit(True)))
 
 
-_PAIRS = [("orders", "value"), ("orders", "finished"), ("value", "finished"), ("orders", "urgent"), ("value", "urgent"), ("finished", "urgent")]
+_PAIRS = [
+    ("orders", "value"),
+    ("orders", "finished"),
+    ("value", "finished"),
+    ("orders", "urgent"),
+    ("value", "urgent"),
+    ("finished", "urgent"),
+]
 
 
 @query(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalar import position_group
+from tidemark.functions.scalar import mapping, position_group
 from tidemark.operators.order_stats import exact_quantiles
 from tidemark.shared import attach
 from tidemark.sources import config
@@ -21,17 +21,10 @@ def numeric_columns(df: DataFrame, protected: list[str]) -> list[str]:
 def with_position_group(df: DataFrame, position: str = "position", source: str = "counts") -> DataFrame:
     """Add ``position_group``: 'market' texts by their own table, else the first listed code."""
     if source == "market":
-        group = F.trim(F.col(position))
-        return df.withColumn("position_group", config_lookup(group, config.MARKET_POSITIONS))
+        return df.withColumn("position_group", mapping(config.MARKET_POSITIONS, F.trim(F.col(position))))
     return df.withColumn("position_group", position_group(F.col(position), config.GROUP_CODES))
 
 
-def config_lookup(key: Column, table: dict) -> Column:
-    from tidemark.functions.scalar import mapping
-
-    return mapping(table, key)
-
-
 def keep_eligible(
     df: DataFrame,
     group: str = "position_group",

@@ -24,9 +24,9 @@ def forward_label(
     """Label source-tier rows: does the entity reach a target tier within the next ``years``?
 
     1 if it does with enough exposure, 0 if not and the window is complete, dropped otherwise. The
-    earliest (year, tier) is reported, with ``period`` also the text of that period. Qualifying rows are reduced to one per (entity, year), turned
-    into the at most ``years`` earlier years they answer, and met with an equi-join: no self-join by
-    entity, no window over the rows of an entity.
+    earliest (year, tier) is reported, with ``period`` also the text of that period. Qualifying rows
+    are reduced to one per (entity, year), turned into the at most ``years`` earlier years they
+    answer, and met with an equi-join: no self-join by entity, no window over the rows of an entity.
     """
     hits = (
         df.where(F.col(tier).isin(target) & (F.col(exposure) >= min_exposure))
@@ -130,7 +130,8 @@ def single_class_periods(labels: DataFrame, period: str) -> DataFrame:
 def walk_forward_folds(df: DataFrame, year: Column, folds: list[tuple] | None = None) -> DataFrame:
     """One row per (row, fold, split it belongs to) with columns ``fold`` and ``split``.
 
-    A badly chosen fold may place a row in two splits; the leakage report then says so. The few folds are expressions on the row: no join and no shuffle.
+    A badly chosen fold may place a row in two splits; the leakage report then says so. The few folds
+    are expressions on the row: no join and no shuffle.
     """
     places = []
     for fold, train_end, validation, test in folds or config.FOLDS:

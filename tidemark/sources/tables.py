@@ -145,8 +145,8 @@ def write_upsert(
 ) -> int:
     """Insert or replace by key in a partitioned parquet table; only the touched partitions are rewritten.
 
-    Returns the number of incoming rows, 0 leaves the table as it is. The merged rows are written to the shared folder first, since a table cannot be read and
-    overwritten in one job.
+    Returns the number of incoming rows, 0 leaves the table as it is. The merged rows are written to
+    the shared folder first, since a table cannot be read and overwritten in one job.
     """
     spark = incoming.sparkSession
     incoming = keep(incoming, "incoming")

@@ -155,8 +155,11 @@ def best_match(
     else:
         close = keep(_best(_scored_pairs(wanted, offered, blocks, STRICT_RATIO), blocks), "close")
         settled = close.where(F.col("_score") >= 100 * (NAME_WEIGHT * STRICT_RATIO + TEAM_WEIGHT))
-        open_ones = wanted.join(settled, on=[*blocks, "_name", "_team"], how="left_anti")
-        found = settled.unionByName(_best(_scored_pairs(open_ones, offered, blocks, floor), blocks))
+        open_ones = keep(wanted.join(settled, on=[*blocks, "_name", "_team"], how="left_anti"), "open")
+        found = settled
+        if not open_ones.isEmpty():
+            nearby = offered.join(open_ones.select(*blocks).distinct(), on=blocks, how="left_semi")
+            found = settled.unionByName(_best(_scored_pairs(open_ones, nearby, blocks, floor), blocks))
     found = found.where(F.col("_score") >= threshold)
     joined = named.join(keep(found, "matches"), on=[*blocks, "_name", "_team"], how="left")
     return joined.select(*left.columns, F.col("_rid").alias(match_id), F.col("_score").alias(confidence))

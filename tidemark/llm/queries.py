@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language
+from tidemark.llm import language, toxicity
 from tidemark.llm.common import fold, held_out, read
+from tidemark.shared import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +27,17 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(fold(F.col("doc_id")) != 1))
     found = language.identify(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Model learned from the labelled documents of the folds 0 and 2."""
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 1).select("doc_id", "toxic")
+    texts = read(spark, sf_dir, "documents").where(fold(F.col("doc_id")) != 1).select("doc_id", "text")
+    return toxicity.fit(keep(texts.join(labels, "doc_id"), "labelled"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    found = toxicity.score(read(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

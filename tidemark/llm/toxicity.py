@@ -25,6 +25,8 @@ LONGEST = 32
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INSIDE = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: Weight of all ordinary words together, against 1 for all insults.
+_ORDINARY = 20.0
 _FLOOR = -0.5
 _KNOWN = 400_000
 _CHUNK = 4 << 20
@@ -34,89 +36,103 @@ _JUDGED: dict[bytes, tuple[set[str], dict[str, float]]] = {}
 
 def plain(token: str) -> str:
     """Lower-case token without punctuation at its ends."""
-    return _EDGES.sub("", token.lower())
+    token = token.lower()
+    return token if token.isalnum() else _EDGES.sub("", token)
 
 
 def parts(token: str) -> set[str]:
     """The token and its letters and digits alone, in half-overlapping pieces where longer than ``LONGEST``."""
+    if len(token) <= LONGEST and token.isalnum():
+        return {token}
     forms = {token, _INSIDE.sub("", token)}
     return {f[i : i + LONGEST] for f in forms for i in range(0, max(1, len(f) - LONGEST // 2), LONGEST // 2)}
 
 
 def _codes(strings: list[str]) -> np.ndarray:
     width = max([1, *map(len, strings)])
-    return np.array([[ord(c) for c in s] + [0] * (width - len(s)) for s in strings], np.int32).reshape(len(strings), width)
+    return np.array(strings, f"U{width}").view(np.uint32).reshape(len(strings), width).astype(np.int64)
+
+
+#: Strings whose kernels are computed together.
+_ROWS = 2048
 
 
 def kernel(strings: list[str], landmarks: list[str], order: int, decay: float) -> np.ndarray:
-    """Gap-weighted count of common subsequences of ``order`` characters, strings by landmarks."""
+    """Gap-weighted count of common subsequences of ``order`` characters, strings by landmarks.
+
+    ``state[q, j]`` sums, over what is read of a string, the common subsequences of q + 1 characters
+    that end at place j of the landmark. Gaps in the string are paid by a factor of its place, applied
+    when a subsequence begins and when it ends.
+    """
     left, right = _codes(strings), _codes(landmarks)
+    width = right.shape[1]
     letters = np.unique(right[right > 0])
-    place = np.searchsorted(letters, left)
-    place = np.where((left > 0) & (letters[np.minimum(place, max(len(letters) - 1, 0))] == left) if len(letters) else False, place, len(letters))
-    match = np.zeros((right.shape[1], len(letters) + 1, len(landmarks)), np.float32)
-    for j in range(right.shape[1]):
-        match[j, :-1] = (letters[:, None] == right[None, :, j]) * np.float32(decay * decay)
-    total = np.zeros((len(strings), len(landmarks)), np.float32)
+    codes = np.minimum(np.searchsorted(letters, left), len(letters) - 1)
+    place = np.where(letters[codes] == left, codes, len(letters))
+    match = np.zeros((width, len(letters) + 1, len(landmarks)), np.float32)
+    for j in range(width):
+        match[j, :-1] = letters[:, None] == right[None, :, j]
     decay = np.float32(decay)
-    for low in range(0, len(strings), 4096):
-        rows = place[low : low + 4096]
-        state = np.zeros((order, right.shape[1], len(rows), len(landmarks)), np.float32)
-        found = total[low : low + 4096]
+    total = np.zeros((len(strings), len(landmarks)), np.float32)
+    for low in range(0, len(strings), _ROWS):
+        rows = place[low : low + _ROWS]
+        found = total[low : low + _ROWS]
+        state = np.zeros((order - 1, width, *found.shape), np.float32)
+        run, fresh = np.empty_like(found), np.empty_like(found)
         for i in range(left.shape[1]):
-            here = rows[:, i]
-            active = here < len(letters)
-            state *= decay
-            if not active.any():
-                continue
-            hits = match[:, here]
+            hits = match[:, rows[:, i]]
             for q in range(order - 1, 0, -1):
-                run = np.zeros_like(found)
-                for j in range(1, right.shape[1]):
-                    run = run * decay + state[q - 1, j - 1] / decay
-                    fresh = hits[j] * run
-                    if q == order - 1:
-                        found += fresh
-                    else:
+                run[:] = 0
+                ended = np.zeros_like(found) if q == order - 1 else None
+                for j in range(q, width):
+                    run *= decay
+                    run += state[q - 1, j - 1]
+                    np.multiply(hits[j], run, out=fresh)
+                    if ended is None:
                         state[q, j] += fresh
+                    else:
+                        ended += fresh
+                if ended is not None:
+                    ended *= decay ** np.float32(i + order + 1)
+                    found += ended
+            hits *= decay ** np.float32(-i)
             state[0] += hits
     return total
 
 
 def self_kernel(strings: list[str], order: int, decay: float) -> np.ndarray:
-    """Kernel of every string with itself."""
+    """Kernel of every string with itself, scaled as in ``kernel``."""
     codes = _codes(strings)
     n, width = codes.shape
+    decay = np.float32(decay)
     result = np.zeros(n, np.float32)
-    for low in range(0, n, 4096):
-        own = codes[low : low + 4096]
-        alike = ((own[:, :, None] == own[:, None, :]) & (own[:, :, None] > 0)).astype(np.float32) * np.float32(decay * decay)
-        state = np.zeros((order, width, len(own)), np.float32)
-        found = np.zeros(len(own), np.float32)
+    for low in range(0, n, _ROWS):
+        own = np.ascontiguousarray(codes[low : low + _ROWS].T)
+        alike = ((own[:, None] == own[None]) & (own[:, None] > 0)).astype(np.float32)
+        state = np.zeros((order - 1, width, own.shape[1]), np.float32)
+        found = result[low : low + _ROWS]
         for i in range(width):
-            state *= np.float32(decay)
             for q in range(order - 1, 0, -1):
-                run = np.zeros(len(own), np.float32)
-                for j in range(1, width):
-                    run = run * np.float32(decay) + state[q - 1, j - 1] / np.float32(decay)
-                    fresh = alike[:, i, j] * run
+                run = np.zeros(own.shape[1], np.float32)
+                for j in range(q, width):
+                    run *= decay
+                    run += state[q - 1, j - 1]
                     if q == order - 1:
-                        found += fresh
+                        found += alike[i, j] * run * decay ** np.float32(i + order + 1)
                     else:
-                        state[q, j] += fresh
-            state[0] += alike[:, i, :].T
-        result[low : low + 4096] = found
+                        state[q, j] += alike[i, j] * run
+            state[0] += alike[i] * decay ** np.float32(-i)
     return result
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Landmarks, weights of the landmark kernels, and the logistic curve over a text's two highest margins."""
+    """Landmarks, weights of the landmark kernels, and the logistic curve over the sum of a text's two highest margins."""
 
     landmarks: tuple[str, ...]
     weights: np.ndarray
     bias: float
-    curve: tuple[float, float, float]
+    curve: tuple[float, float]
     order: int = 3
     decay: float = 0.7
 
@@ -156,18 +172,19 @@ def _machine(features: np.ndarray, sign: np.ndarray, cost: np.ndarray, ridge: fl
     return weights[:-1], float(weights[-1])
 
 
-def _logistic(values: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    rows = np.hstack([values, np.ones((len(values), 1))])
-    curve = np.zeros(3)
-    for _ in range(50):
+def _logistic(values: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a weighted logistic curve, by damped Newton steps."""
+    rows = np.stack([values, np.ones(len(values))], axis=1)
+    curve = np.zeros(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(rows @ curve, -30, 30)))
         gradient = rows.T @ (weight * (p - label)) + 1e-3 * curve
-        hessian = rows.T @ (rows * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(3)
-        step = np.linalg.solve(hessian, gradient)
+        hessian = rows.T @ (rows * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]) + 1e-3 * np.eye(2)
+        step = np.clip(np.linalg.solve(hessian, gradient), -2, 2)
         curve = curve - step
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(float(c) for c in curve)
+    return float(max(curve[0], 0.0)), float(curve[1])
 
 
 def _stems(token: Column) -> Column:
@@ -194,16 +211,14 @@ def _without_near_copies(sample: DataFrame, times: int = 4) -> DataFrame:
 
 
 def _spread(strings: list[str], wanted: int, order: int, decay: float) -> list[str]:
-    """Greedy choice of strings that are least alike, starting from the first."""
-    if len(strings) <= wanted:
-        return strings
+    """The first ``wanted`` strings, without those much like an earlier one."""
     alike = _features(strings, strings, order, decay)
-    chosen = [0]
-    nearest = alike[:, 0].copy()
-    while len(chosen) < wanted:
-        chosen.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, alike[:, chosen[-1]])
-    return [strings[i] for i in chosen]
+    chosen: list[int] = []
+    for limit in (0.6, 0.9):
+        for i in range(len(strings)):
+            if len(chosen) < wanted and i not in chosen and not (alike[i, chosen] > limit).any():
+                chosen.append(i)
+    return [strings[i] for i in sorted(chosen)]
 
 
 def fit(
@@ -229,7 +244,7 @@ def fit(
     totals = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     seen = sum(totals.values())
     share = totals.get(1, 0) / seen if seen else 0.0
-    nothing = ToxicityModel((), np.zeros(0), 0.0, (0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))), order, decay)
+    nothing = ToxicityModel((), np.zeros(0), 0.0, (0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))), order, decay)
     if len(totals) < 2:
         return nothing
     sample = keep(_without_near_copies(sampled_rows(rows, F.col("_y"), F.col("_text"), sample_rows).select("_text", "_y")), "labelled")
@@ -252,7 +267,8 @@ def fit(
     surprise = 2 * (F.when(a > 0, a * F.log(a / expected_a)).otherwise(0.0) + F.when(b > 0, b * F.log(b / expected_b)).otherwise(0.0))
     repeated = max(units.where(F.col("bad") + F.col("good") > 1).count(), 2)
     found = stems.where((F.length("stem") >= 4) & telling & (surprise > 1.5 * float(np.log(repeated))))
-    starts = {r["stem"] for r in found.orderBy(F.desc(surprise), "stem").limit(positive_units).collect()}
+    ranked = found.select("stem", "bad", "good", surprise.alias("surprise")).orderBy(F.desc("surprise"), "stem").limit(positive_units).collect()
+    starts = {r["stem"] for r in ranked if r["surprise"] >= 0.1 * ranked[0]["surprise"]}
     if not starts:
         return nothing
     carried = F.arrays_overlap(_stems(F.col("word")), F.array(*[F.lit(s) for s in sorted(starts)])) & telling
@@ -264,19 +280,27 @@ def fit(
     negative = sorted({r["word"] for r in [*frequent, *drawn]})
     if not positive or not negative:
         return nothing
-    marks = _spread(positive, landmarks, order, decay)
-    inner = _features(marks, marks, order, decay).astype(np.float64)
-    value, vector = np.linalg.eigh((inner + inner.T) / 2)
-    root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
-    weight = {r["word"]: float(r["bad"]) for r in insults}
-    features = np.vstack([_features(positive, marks, order, decay), _features(negative, marks, order, decay)]) @ root
+    weight = {r["word"]: float(r["bad"]) for r in insults} | {r["word"]: float(r["good"]) for r in [*frequent, *drawn]}
     sign = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    often = np.sqrt([weight[w] for w in positive])
-    cost = np.concatenate([0.5 * often / often.sum(), np.full(len(negative), 0.5 / len(negative))])
-    weights, bias = _machine(features, sign, cost, ridge=1e-4)
-    model = ToxicityModel(tuple(marks), (root @ weights).astype(np.float32), bias, (1.0, 1.0, 0.0), order, decay)
+    often = np.sqrt([weight[w] for w in [*positive, *negative]])
+    # Each insult counts by the root of its texts, each ordinary word by its texts: a common word taken for an insult spoils many texts.
+    cost = np.where(sign > 0, often / often[sign > 0].sum(), _ORDINARY * often**2 / (often[sign < 0] ** 2).sum())
+    marks = _spread(positive, landmarks * 2 // 3, order, decay)
+    for _ in range(2):
+        inner = _features(marks, marks, order, decay).astype(np.float64)
+        value, vector = np.linalg.eigh((inner + inner.T) / 2)
+        root = vector @ np.diag(np.where(value > 1e-4, 1 / np.sqrt(np.maximum(value, 1e-4)), 0)) @ vector.T
+        features = np.vstack([_features(positive, marks, order, decay), _features(negative, marks, order, decay)]) @ root
+        weights, bias = _machine(features, sign, cost, ridge=1e-4)
+        wrong = (features[sign < 0] @ weights + bias + 1) * often[sign < 0]
+        hardest = [negative[i] for i in np.argsort(-wrong)[:100]]
+        if len(marks) < landmarks:
+            marks = marks + _spread([w for w in hardest if w not in marks], landmarks - len(marks), order, decay)
+        else:
+            break
+    model = ToxicityModel(tuple(marks), (root @ weights).astype(np.float32), bias, (1.0, 0.0), order, decay)
     seen = sample.select("_y", highest(F.col("_text"), model).alias("m")).select("_y", "m.*").collect()
-    values = np.array([[r["first"], r["second"]] for r in seen])
+    values = np.array([r["first"] + r["second"] for r in seen])
     label = np.array([r["_y"] for r in seen], float)
     weight = np.where(label == 1, share / bad, (1 - share) / good) * len(seen)
     return ToxicityModel(model.landmarks, model.weights, model.bias, _logistic(values, label, weight), order, decay)
@@ -295,7 +319,7 @@ def _chunks(texts: pa.Array) -> Iterator[list[str]]:
 
 
 def highest(text: Column, model: ToxicityModel) -> Column:
-    """Struct (first, second): the two highest word margins of a text, no lower than a fixed floor.
+    """Struct (first, second): the two highest word margins of a text, between a fixed floor and 1.
 
     Words are judged once per worker and remembered; the memory is bounded. Single characters that
     stand apart, three or more in a row, are read as one word too.
@@ -321,7 +345,7 @@ def highest(text: Column, model: ToxicityModel) -> Column:
                 margin = dict(zip(shapes, model.margins(shapes).tolist()))
                 for t, p in pieces:
                     if margin[p] > _FLOOR:
-                        telling[t] = max(margin[p], telling.get(t, _FLOOR))
+                        telling[t] = min(max(margin[p], telling.get(t, _FLOOR)), 1.0)
                 known.update(fresh)
                 for own in tokens:
                     found = sorted([telling[t] for t in own if t in telling], reverse=True)[:2] + [_FLOOR, _FLOOR]
@@ -337,11 +361,11 @@ def highest(text: Column, model: ToxicityModel) -> Column:
 
 def toxicity(text: Column, model: ToxicityModel) -> Column:
     """Score from 0 to 1, higher where label 1 is likelier. A null or empty text is scored as a text without insults."""
-    steep_first, steep_second, base = model.curve
+    steep, base = model.curve
     if not model.landmarks:
         return F.lit(float(1 / (1 + np.exp(-base))))
     found = highest(text, model)
-    return 1 / (1 + F.exp(-(found["first"] * steep_first + found["second"] * steep_second + base)))
+    return 1 / (1 + F.exp(-((found["first"] + found["second"]) * steep + base)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:

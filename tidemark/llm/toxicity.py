@@ -261,14 +261,15 @@ def fit(
         "words",
     )
     stems = units.select(F.explode(_stems(F.col("word"))).alias("stem"), "bad", "good").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    telling = 8 * (F.col("good") + 0.5) / good < F.col("bad") / bad
+    telling = 15 * (F.col("good") + 0.5) / good < F.col("bad") / bad
     a, b = F.col("bad") + 0.0, F.col("good") + 0.0
     expected_a, expected_b = (a + b) * (bad / (bad + good)), (a + b) * (good / (bad + good))
     surprise = 2 * (F.when(a > 0, a * F.log(a / expected_a)).otherwise(0.0) + F.when(b > 0, b * F.log(b / expected_b)).otherwise(0.0))
     repeated = max(units.where(F.col("bad") + F.col("good") > 1).count(), 2)
     found = stems.where((F.length("stem") >= 4) & telling & (surprise > 1.5 * float(np.log(repeated))))
     ranked = found.select("stem", "bad", "good", surprise.alias("surprise")).orderBy(F.desc("surprise"), "stem").limit(positive_units).collect()
-    starts = {r["stem"] for r in ranked if r["surprise"] >= 0.1 * ranked[0]["surprise"]}
+    ranked = [r for r in ranked if r["surprise"] >= 0.1 * ranked[0]["surprise"]]
+    starts = {r["stem"] for r in ranked}
     if not starts:
         return nothing
     carried = F.arrays_overlap(_stems(F.col("word")), F.array(*[F.lit(s) for s in sorted(starts)])) & telling
@@ -285,7 +286,12 @@ def fit(
     often = np.sqrt([weight[w] for w in [*positive, *negative]])
     # Each insult counts by the root of its texts, each ordinary word by its texts: a common word taken for an insult spoils many texts.
     cost = np.where(sign > 0, often / often[sign > 0].sum(), _ORDINARY * often**2 / (often[sign < 0] ** 2).sum())
-    marks = _spread(positive, landmarks * 2 // 3, order, decay)
+    telling_stems = sorted(ranked, key=lambda r: (-round(r["surprise"], 6), -len(r["stem"]), r["stem"]))
+    longest: list[str] = []
+    for r in telling_stems:
+        if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in longest):
+            longest.append(r["stem"])
+    marks = _spread(longest, landmarks * 2 // 3, order, decay)
     for _ in range(2):
         inner = _features(marks, marks, order, decay).astype(np.float64)
         value, vector = np.linalg.eigh((inner + inner.T) / 2)

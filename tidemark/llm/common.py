@@ -101,3 +101,15 @@ def ngram_matrix(texts: pa.Array, sizes: tuple[int, ...], dims: int, rows: int =
                     slot = ((code[whole] + np.uint32(size)) * np.uint32(2654435761)) >> shift
                     counts += np.bincount(owner[:n][whole] * dims + slot, minlength=len(counts))
         yield counts.reshape(-1, dims).astype(np.float32)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def shingles(own: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words; fewer words count as one run, none give an empty array."""
+    count = F.size(own)
+    runs = F.transform(F.sequence(F.lit(1), count - (size - 1)), lambda i: F.xxhash64(F.slice(own, i, size)))
+    return F.when(count >= size, runs).when(count > 0, F.array(F.xxhash64(own))).otherwise(F.array().cast("array<bigint>"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, toxicity
+from tidemark.llm import language, quality, toxicity
 from tidemark.llm.common import fold, held_out, read
 from tidemark.shared import keep
 
@@ -41,3 +41,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     found = toxicity.score(read(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; texts labelled as good are the target."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels").where("quality = 1"))
+    return quality.judge(docs, model)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, quality, toxicity
+from tidemark.llm import language, quality, secret_scan, toxicity
 from tidemark.llm.common import fold, held_out, read
 from tidemark.shared import keep
 
@@ -49,3 +49,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels").where("quality = 1"))
     return quality.judge(docs, model)
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.report(docs, secret_scan.fit(docs))

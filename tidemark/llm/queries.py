@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, quality, secret_scan, toxicity
+from tidemark.llm import fingerprints, language, quality, secret_scan, toxicity
 from tidemark.llm.common import fold, held_out, read
 from tidemark.shared import keep
 
@@ -56,3 +56,9 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.report(docs, secret_scan.fit(docs))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint(read(spark, sf_dir, "documents"))

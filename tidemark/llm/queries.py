@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, language, quality, secret_scan, toxicity
 from tidemark.llm.common import fold, held_out, read
-from tidemark.shared import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,9 +30,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Model learned from the labelled documents of the folds 0 and 2."""
-    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 1).select("doc_id", "toxic")
-    texts = read(spark, sf_dir, "documents").where(fold(F.col("doc_id")) != 1).select("doc_id", "text")
-    return toxicity.fit(keep(texts.join(labels, "doc_id"), "labelled"))
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 1)
+    return toxicity.fit(read(spark, sf_dir, "documents"), labels)
 
 
 @query

@@ -222,7 +222,9 @@ def _spread(strings: list[str], wanted: int, order: int, decay: float) -> list[s
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
     sample_rows: int = 8000,
@@ -232,22 +234,25 @@ def fit(
     order: int = 3,
     decay: float = 0.7,
 ) -> ToxicityModel:
-    """Learn from at most ``sample_rows`` labelled texts, half of each label.
+    """Learn from at most ``sample_rows`` labelled texts, half of each label, chosen by the hash of their id.
 
+    The chosen ids, so many at most, are broadcast to the texts; no text is shuffled to find its label.
     Texts carry the label, words do not: a word counts as an insult if it, or its beginning, occurs in
     more texts of label 1 than chance allows among all words seen. The counting is distributed; at most
     ``positive_units`` insults and ``ordinary_units`` words of label-0 texts reach the driver. Near
     copies count once. Null texts and labels teach nothing. Without texts of both labels, or without
     insults, every text scores the share of label 1 (0 if there are no labels).
     """
-    rows = labelled.select(F.col(text).alias("_text"), F.col(label).cast("int").alias("_y")).where("_text IS NOT NULL AND _y IN (0, 1)")
+    rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
     totals = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     seen = sum(totals.values())
     share = totals.get(1, 0) / seen if seen else 0.0
     nothing = ToxicityModel((), np.zeros(0), 0.0, (0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))), order, decay)
     if len(totals) < 2:
         return nothing
-    sample = keep(_without_near_copies(sampled_rows(rows, F.col("_y"), F.col("_text"), sample_rows).select("_text", "_y")), "labelled")
+    chosen = sampled_rows(rows, F.col("_y"), F.col("_id"), sample_rows).select("_id", "_y").limit(2 * sample_rows)
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL")
+    sample = keep(_without_near_copies(texts.join(F.broadcast(chosen), "_id").select("_text", "_y")), "labelled")
     counts = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     if not bad or not good:
@@ -266,7 +271,7 @@ def fit(
     expected_a, expected_b = (a + b) * (bad / (bad + good)), (a + b) * (good / (bad + good))
     surprise = 2 * (F.when(a > 0, a * F.log(a / expected_a)).otherwise(0.0) + F.when(b > 0, b * F.log(b / expected_b)).otherwise(0.0))
     repeated = max(units.where(F.col("bad") + F.col("good") > 1).count(), 2)
-    found = stems.where((F.length("stem") >= 4) & telling & (surprise > 1.5 * float(np.log(repeated))))
+    found = stems.where((F.length("stem") >= 4) & telling & (surprise > 2 * float(np.log(repeated))))
     ranked = found.select("stem", "bad", "good", surprise.alias("surprise")).orderBy(F.desc("surprise"), "stem").limit(positive_units).collect()
     ranked = [r for r in ranked if r["surprise"] >= 0.1 * ranked[0]["surprise"]]
     starts = {r["stem"] for r in ranked}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, near_dedup, pieces, quality, secret_scan, toxicity
+from tidemark.llm import fingerprints, language, near_dedup, pieces, quality, secret_scan, substrings, toxicity
 from tidemark.llm.common import fold, held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and the text they decode to."""
     return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no earlier document holds in a window of thirteen."""
+    found = substrings.remove_repeated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

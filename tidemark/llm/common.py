@@ -72,10 +72,10 @@ _LETTERS[:128][[not chr(c).isalpha() for c in range(128)]] = ord(" ")
 _SLICE = 1 << 21
 
 
-def ngram_matrix(texts: pa.Array, sizes: tuple[int, ...], dims: int, rows: int = 128) -> Iterator[np.ndarray]:
+def ngram_matrix(texts: pa.Array, sizes: tuple[int, ...], dims: int, rows: int = 128, letters: bool = True) -> Iterator[np.ndarray]:
     """Counts of hashed byte n-grams, ``rows`` texts at a time. ``dims`` is a power of two.
 
-    ASCII letters are folded to lower case, other ASCII characters read as blanks. A long text is read in slices, so memory depends on
+    With ``letters`` ASCII letters are folded to lower case, other ASCII characters read as blanks. A long text is read in slices, so memory depends on
     neither the length of a text nor the size of the batch.
     """
     raw, places = utf8(texts)
@@ -86,7 +86,8 @@ def ngram_matrix(texts: pa.Array, sizes: tuple[int, ...], dims: int, rows: int =
         counts = np.zeros((len(ends) - 1) * dims, np.float64)
         for start in range(int(ends[0]), int(ends[-1]), _SLICE):
             stop = min(start + _SLICE, int(ends[-1]))
-            part = _LETTERS[raw[start : min(stop + widest - 1, int(ends[-1]))]].astype(np.uint32)
+            part = raw[start : min(stop + widest - 1, int(ends[-1]))]
+            part = (_LETTERS[part] if letters else part).astype(np.uint32)
             at = np.arange(start, stop)
             owner = np.searchsorted(ends, at, side="right") - 1
             left = ends[owner + 1] - at

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, near_dedup, pieces, quality, secret_scan, substrings, toxicity
+from tidemark.llm import fingerprints, language, mixing, near_dedup, pieces, quality, secret_scan, substrings, toxicity
 from tidemark.llm.common import fold, held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,24 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that no earlier document holds in a window of thirteen."""
     found = substrings.remove_repeated(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Shares of tokens the mixture gives to texts labelled good, poor and toxic.
+MIX_TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
+
+
+def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table as domains of documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return read(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeliest domain and reading rate of every document."""
+    docs = read(spark, sf_dir, "documents")
+    model = mixing.fit(docs, label_domains(spark, sf_dir))
+    rated, _ = mixing.rates(mixing.members(docs, model), model, MIX_TARGETS)
+    best = F.array_max("posterior")
+    name = F.get(F.array(*[F.lit(d) for d in model.domains]), F.array_position("posterior", best).cast("int") - 1)
+    return rated.select("doc_id", "n_tokens", name.alias("domain"), best.alias("share"), "rate")

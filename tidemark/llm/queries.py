@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, mixing, near_dedup, pieces, quality, secret_scan, substrings, toxicity
+from tidemark.llm import fingerprints, language, mixing, near_dedup, pieces, quality, secret_scan, substrings, toxicity, warc
 from tidemark.llm.common import fold, held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.array_max("posterior")
     name = F.get(F.array(*[F.lit(d) for d in model.domains]), F.array_position("posterior", best).cast("int") - 1)
     return rated.select("doc_id", "n_tokens", name.alias("domain"), best.alias("share"), "rate")
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages as read back from their archives."""
+    found = warc.archive(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op8_warc"] = """
+    SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+           CASE WHEN strlen(payload) >= 1000 AND last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN strlen(payload) >= 1000 AND last > page_id THEN last END AS refers_to
+    FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+          FROM pages) AS p
+"""

@@ -161,4 +161,4 @@ def mix(docs: DataFrame, rated: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     drawn = F.pmod(F.xxhash64(F.lit("mix"), F.col("row")), F.lit(1 << 30)) / float(1 << 30)
     stays = rated.where(drawn < F.col("rate")).select(F.col("row").alias("_row")).distinct()
-    return docs.join(stays, row_key(docs[doc_id], docs[text]) == F.col("_row"), "left_semi")
+    return docs.join(stays, row_key(docs[doc_id], docs[text]) == stays["_row"], "left_semi")

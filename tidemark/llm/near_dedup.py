@@ -178,6 +178,6 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, with their own columns, that have the least id of their component."""
+    """Rows of ``docs``, with their own columns, that have the least id of their component; null ids stay."""
     kept = link(docs, doc_id, text, size, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")

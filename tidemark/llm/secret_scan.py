@@ -159,9 +159,12 @@ def redact(docs: DataFrame, model: SecretModel, text: str = "text", mark: str =
         rest = lambda state: F.concat(F.array_join(state["kept"], ""), F.substring(own, state["at"] + 1, F.length(own)))
         return F.aggregate(spans, start, step, rest)
 
-    found = find(docs, model, text, "_spans")
-    changed = F.when(F.size("_spans") > 0, rewritten(F.col("_spans"))).otherwise(F.col(text))
-    return found.withColumn(text, changed).drop("_spans")
+    name = "_spans"
+    while name in docs.columns:
+        name += "_"
+    found = find(docs, model, text, name)
+    changed = F.when(F.size(name) > 0, rewritten(F.col(name))).otherwise(F.col(text))
+    return found.withColumn(text, changed).select(docs.columns)
 
 
 def report(docs: DataFrame, model: SecretModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -71,16 +71,17 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     no next document: their text stays and near_next is 0. Other columns are ignored.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    plain = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text"), sketch(own).alias("found"))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text"))
     rows = plain.where("doc_id IS NOT NULL")
     known = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"))
     ids = known.agg(F.max(F.length(own)).alias("n"), F.min(F.xxhash64(own)).alias("hash"))
     links = neighbours(ids, "doc_id", "n")
-    given = rows.join(links, "doc_id").where(F.xxhash64("text") == F.col("hash"))
+    # The rows meet their links and what precedes gives them by id alone, so that their texts move once.
+    given = rows.join(links, "doc_id").where(F.xxhash64("text").bitwiseXOR(F.col("hash")) == 0)
     given = given.select(
         F.col("before").alias("doc_id"),
         F.substring("text", F.lit(1), F.floor(F.col("before_value") / 3).cast("int")).alias("head"),
-        F.col("found").alias("next_found"),
+        sketch(F.col("text")).alias("next_found"),
     )
     again = F.lag("doc_id").over(W.partitionBy("doc_id").orderBy("doc_id"))
     once = given.withColumn("again", again).where("again IS NULL").drop("again")
@@ -90,7 +91,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     cut = F.floor(n / 3).cast("int")
     head = F.coalesce(F.substring("head", F.lit(1), cut), F.lit(""))
     edited = F.when(F.col("head").isNull(), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), n - cut), head))
-    full = joined.select("doc_id", n.cast("long").alias("n_chars"), "found", "next_found", edited.alias("edited"))
+    full = joined.select("doc_id", n.cast("long").alias("n_chars"), sketch(F.col("text")).alias("found"), "next_found", edited.alias("edited"))
     full = full.withColumns({"edited_sha256": F.sha2("edited", 256), "edited_found": sketch(F.col("edited"))})
     empty = F.array().cast("array<bigint>")
     return full.select(

@@ -117,3 +117,50 @@ ORACLES["op8_warc"] = """
     FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
           FROM pages) AS p
 """
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op6_substrings"] = f"""
+    WITH own AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+    windows AS (
+        SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS window_text
+        FROM own, unnest(range(1, greatest(len(words) - 11, 1))) AS places(i)),
+    firsts AS (SELECT window_text, min(doc_id) AS first_id FROM windows GROUP BY window_text),
+    gone AS (
+        SELECT DISTINCT doc_id, place
+        FROM windows JOIN firsts USING (window_text), unnest(range(i, i + 13)) AS covered(place)
+        WHERE first_id < doc_id),
+    marked AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id),
+    cut AS (
+        SELECT own.doc_id, words, coalesce(places, []) AS places
+        FROM own LEFT JOIN marked ON own.doc_id = marked.doc_id),
+    kept AS (
+        SELECT doc_id, len(words) AS n_words, len(places) AS n_removed,
+               [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(places, i)] AS left_words
+        FROM cut)
+    SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(left_words, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+ORACLES["op10_near_dedup"] = f"""
+    WITH RECURSIVE own AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS words FROM documents),
+    sets AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                                     ELSE [array_to_string(words[i : i + 3], ' ') FOR i IN range(1, len(words) - 2)] END) AS items
+        FROM own),
+    classes AS (SELECT list_sort(items) AS items, min(doc_id) AS rep, len(any_value(items)) AS n FROM sets WHERE len(items) > 0 GROUP BY list_sort(items)),
+    postings AS (SELECT rep, n, unnest(items) AS item FROM classes),
+    pairs AS (
+        SELECT a.rep AS a, b.rep AS b, count(*) AS common, any_value(a.n) AS n_a, any_value(b.n) AS n_b
+        FROM postings AS a JOIN postings AS b ON a.item = b.item AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        GROUP BY a.rep, b.rep),
+    links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (n_a + n_b - common)),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT rep AS node, rep AS seen FROM classes UNION SELECT edges.b, reach.seen FROM reach JOIN edges ON reach.node = edges.a),
+    roots AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+    SELECT sets.doc_id, len(sets.items) AS n_shingles, coalesce(component, sets.doc_id) AS component_id,
+           coalesce(component, sets.doc_id) = sets.doc_id AS kept
+    FROM sets LEFT JOIN classes ON list_sort(sets.items) = classes.items LEFT JOIN roots ON roots.node = classes.rep
+"""

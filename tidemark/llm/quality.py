@@ -12,6 +12,7 @@ from tidemark.llm.common import let, literal_doubles, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+_SLACK = 0.5
 
 
 @dataclass(frozen=True)
@@ -98,16 +99,18 @@ def fit(
 
     ``trusted`` holds ids of texts known to be good; at most ``trusted_rows`` of them, chosen by hash,
     stand for the target (a broadcast of that many ids at most). The corpus side counts every row of
-    ``docs``. The driver receives one count per bucket and side. The threshold is the mean ratio that
-    ``pass_share`` of the trusted texts reach. Without trusted texts every ratio is 0 and all pass.
+    ``docs``. The driver receives one count per bucket and side. The threshold lies below the mean ratio
+    that ``pass_share`` of the trusted texts reach, by half the way from there to their median, since the
+    ratios favour the texts they come from. Without trusted texts every ratio is 0 and all pass.
     """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ids = trusted.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL").distinct()
     known = ids.count()
     limit = min(1.0, trusted_rows / max(known, 1))
     draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
     chosen = ids.where(draw < int(limit * (1 << 40))).orderBy(draw, "_id").limit(2 * trusted_rows)
-    target = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"), "left_semi")
-    good, all_texts = _bucket_counts(F.col(text), target, buckets), _bucket_counts(F.col(text), docs, buckets)
+    target = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"], "left_semi")
+    good, all_texts = _bucket_counts(F.col("text"), target, buckets), _bucket_counts(F.col("text"), docs, buckets)
     good_sum, all_sum = sum(good.values()) + buckets, sum(all_texts.values()) + buckets
     if good_sum == buckets:
         return QualityModel((0.0,) * buckets, -math.inf, steady)
@@ -115,8 +118,8 @@ def fit(
         round(math.log((good.get(b, 0) + 1) / good_sum) - math.log((all_texts.get(b, 0) + 1) / all_sum), 6) for b in range(buckets)
     )
     model = QualityModel(ratios, -math.inf, steady)
-    least = target.select(likeness(F.col(text), model).alias("m")).agg(F.percentile("m", F.lit(1 - pass_share))).first()[0]
-    return QualityModel(ratios, float(least), steady)
+    low, middle = target.select(likeness(F.col("text"), model).alias("m")).agg(F.percentile("m", F.array(F.lit(1 - pass_share), F.lit(0.5)))).first()[0]
+    return QualityModel(ratios, low - _SLACK * (middle - low), steady)
 
 
 def likeness(text: Column, model: QualityModel) -> Column:

@@ -27,6 +27,8 @@ RUN = 4
 FILTER_BITS = 1 << 27
 #: Words of one shard, about.
 SHARD_WORDS = 1_500_000
+#: Bytes of a word's hash that travel to a shard.
+_BYTES = 6
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _CHUNK = 2_000_000
 
@@ -172,8 +174,11 @@ def _statistics(contents: pa.Table) -> pa.Table:
     column = contents["words"].combine_chunks().take(pa.array(place)).cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint64)[offsets[0] // 8 : offsets[-1] // 8]
-    length = np.diff(offsets) // 8
+    stored = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _BYTES)
+    raw = np.zeros((len(stored), 8), np.uint8)
+    raw[:, :_BYTES] = stored
+    raw = raw.view(np.uint64).ravel()
+    length = np.diff(offsets) // _BYTES
     start = np.cumsum(length) - length + np.arange(len(length))
     names, symbols = np.unique(raw, return_inverse=True)
     text = np.zeros(len(raw) + len(length), np.int64)
@@ -266,7 +271,8 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             length = (count[chosen] + WINDOW - 1).astype(np.int64)
             places = np.concatenate([[0], np.cumsum(length)])
             at = np.arange(places[-1]) - np.repeat(places[:-1], length) + np.repeat(first[chosen], length)
-            data = pa.Array.from_buffers(pa.large_binary(), len(chosen), [None, pa.py_buffer((places * 8).astype(np.int64)), pa.py_buffer(hashes[at])])
+            symbols = np.ascontiguousarray(hashes[at].view(np.uint8).reshape(-1, 8)[:, :_BYTES])
+            data = pa.Array.from_buffers(pa.large_binary(), len(chosen), [None, pa.py_buffer((places * _BYTES).astype(np.int64)), pa.py_buffer(symbols)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((anchor[chosen] % np.uint64(shards)).astype(np.int32)),

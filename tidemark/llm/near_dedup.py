@@ -17,6 +17,8 @@ from tidemark.shared import keep
 BINS = 128
 #: Values per band. A pair of similarity 0.8 misses all 32 bands with a chance of 5 in 100 million.
 BAND = 4
+#: Ratio of the sizes that bound a class of sizes.
+_CLASS = 1.02
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -120,13 +122,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return judged.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n + 0.5) / F.log(F.lit(_CLASS))).cast("int")
+
+
+def _crossing(strays: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of a stray and another row in different components that can share ``percent`` of their union.
+
+    Partners share only shingles that several components hold, the reachable ones. In the order of all
+    reachable shingles from the rarest on, the first one that two partners share stands so early in both
+    that they need to be paired only through the first few of each.
+    """
+    parts = others.select("rep", "part").distinct()
+    held = sets.join(parts, "rep").select("rep", "part", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    spread = held.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("df"))
+    ranked = held.join(spread.where("low < high").select("shingle", "df"), "shingle").groupBy("rep", "part", "n")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    n, reach = F.col("n"), F.size("rare")
+    least = F.ceil(n * percent / 100).cast("int")
+    most = F.floor(F.least(n * 100 / percent, reach * (100 + percent) / percent - n)).cast("int")
+    able = keep(ranked.withColumns({"least": least, "most": most}).where("least <= most"), "able")
+
+    def first(smallest: Column) -> Column:
+        """The rarest reachable shingles, one of which a partner of at least this size holds."""
+        needed = F.ceil((n + smallest) * percent / (100 + percent)).cast("int")
+        return F.explode(F.transform(F.slice("rare", F.lit(1), F.greatest(reach - needed + 1, F.lit(0))), lambda x: x["shingle"])).alias("shingle")
+
+    asked = able.join(strays.select("rep").distinct(), "rep", "left_semi")
+    asked = asked.withColumn("sized", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))))
+    smallest = F.greatest(F.col("least"), F.floor(F.pow(F.lit(_CLASS), F.col("sized")) - 0.5).cast("int"))
+    left = asked.select("sized", *[F.col(c).alias(f"{c}_a") for c in ("rep", "part", "n", "least", "most")], first(smallest))
+    right = able.select(_size_class(n).alias("sized"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "part", "n", "least", "most")], first(F.col("least")))
+    alike = (F.col("part_a") != F.col("part_b")) & F.col("n_b").between(F.col("least_a"), F.col("most_a")) & F.col("n_a").between(F.col("least_b"), F.col("most_b"))
+    met = left.join(right, ["shingle", "sized"]).where(alike)
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) per row of ``docs``; other columns are ignored.
 
     Texts with equal sets form a class, which takes part once, under its least id. Classes that share a
     band meet first the least class of the band; the one a class meets most often is compared with it.
-    Then every two classes of a band that still lie in different components and could be alike by size
-    are compared too, so no link between components is lost. All comparisons are of full sets.
+    Then classes outside the main component of a band are compared with all classes of the band in other
+    components that could be alike, so no link between components is lost. Nearly all pairs are ruled out
+    before they are made, see ``_crossing``. All comparisons are of full sets.
 
     Null and empty texts are linked with nothing. A row with a null id is linked with nothing and kept.
     Rows that repeat an id are judged one by one.
@@ -164,10 +203,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     sizes = placed.groupBy("band", "part").count()
     main = sizes.groupBy("band").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
     split = main.where("parts > 1").select("band", "main")
-    strays = placed.join(split, "band").where("part <> main").select("band", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-    others = placed.join(split.select("band"), "band", "left_semi").select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    alike = (F.col("part_a") != F.col("part_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    crossed = strays.join(others, "band").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    strays = placed.join(split, "band").where("part <> main")
+    others = placed.join(split.select("band"), "band", "left_semi")
+    crossed = _crossing(strays, others, sets, percent)
     crossed = crossed.join(first, ["a", "b"], "left_anti")
     linked = linked.union(keep(_confirmed(keep(crossed, "pairs"), sets, percent), "links"))
     tied = components(linked).withColumnRenamed("node", "rep")

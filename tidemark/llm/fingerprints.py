@@ -71,7 +71,8 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     no next document: their text stays and near_next is 0. Other columns are ignored.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    plain = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text"))
+    # A needless alias on one side of the join only would keep Spark from reading the same exchange twice.
+    plain = docs.select(F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id"), own.alias("text"))
     rows = plain.where("doc_id IS NOT NULL")
     known = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"))
     ids = known.agg(F.max(F.length(own)).alias("n"), F.min(F.xxhash64(own)).alias("hash"))

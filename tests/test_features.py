@@ -96,3 +96,25 @@ def test_unknown_league_counts_as_one(frame):
     df = features.add_coefficient(frame([("eredivisie", 1.0), ("Serie B", 1.0), ("moon league", 1.0)], "league string, xg_per90 double"))
     scaled = features.scale_by_coefficient(df, ["xg_per90"], F.col("_coefficient"))
     assert [r["xg_per90_league_adj"] for r in scaled.collect()] == [0.85, 0.72, 1.0]
+
+
+def test_hot_entity_equals_plain_windows(spark):
+    """One entity with 60,000 rows, more than whole numbers allow to square twice, and NULL periods."""
+    rows = spark.range(60_000).select(
+        F.lit("e").alias("entity"), F.when(F.col("id") >= 50, F.col("id") % 100).alias("period"), F.col("id").alias("tie"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("v")
+    )
+    found = features.add_history(rows, "entity", "period", ["tie"], {"grown": "v"}, {"mean": ("mean", "v"), "slope": ("slope", "v")}).toPandas()
+    ordered = found.sort_values(["period", "tie"], na_position="first").reset_index(drop=True)
+    v, n = ordered["v"].to_numpy(), np.arange(1, 60_001)
+    assert np.allclose(ordered["mean"], np.cumsum(v) / n)
+    top = np.cumsum((n - 1.0) * v) - (n - 1) / 2 * np.cumsum(v)
+    assert np.allclose(ordered["slope"][1:], (top[1:] / (n[1:] * (n[1:] ** 2.0 - 1) / 12)), atol=1e-9)
+    assert np.allclose(ordered["grown"][1:], (v[1:] - v[:-1]) / (np.abs(v[:-1]) + 0.01))
+
+
+def test_dates_and_times_as_ties(frame):
+    rows = [("a", 1, i, float(i)) for i in range(6)]
+    df = frame(rows, "entity string, period int, i int, v double")
+    for tie in (F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")), F.timestamp_seconds(F.col("i"))):
+        found = features.add_history(df.withColumn("at", tie), "entity", "period", ["at"], history={"most": ("max", "v")})
+        assert [r["most"] for r in found.orderBy("i").collect()] == [float(i) for i in range(6)]

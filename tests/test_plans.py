@@ -86,7 +86,7 @@ def test_proxy_runs_before_the_interactions(sources, tmp_path):
 def test_train_score_report(processed, sources, tmp_path):
     result, _ = processed
     out = str(tmp_path / "models")
-    trained = train(result["folds"], META, out=out, numbers=[2, 3], trials=1, rounds=3, explained_rows=None)
+    trained = train(result["folds"], META, out=out, numbers=[2, 3], trials=1, rounds=3)
     predictions = trained["predictions"]
     tests = result["folds"].where("split = 'test' AND fold IN (2, 3)").count()
     assert predictions.count() == tests

@@ -55,3 +55,18 @@ def test_correlations_against_pandas(spark):
 def test_align(frame):
     df = select.align(frame([(1, 2.0, "t")], "b int, extra double, id string"), ["a", "b"], ["id"])
     assert df.columns == ["id", "a", "b"] and tuple(df.first()) == ("t", 0.0, 1.0)
+
+
+def test_correlation_skips_missing_values(frame):
+    rows = [(1.0, 2.0, None), (2.0, 4.0, 1.0), (3.0, None, 5.0), (4.0, 8.5, 2.0)]
+    found = {(r["a"], r["b"]): r["r"] for r in select.correlation_table(frame(rows, "x double, y double, z double"), ["x", "y", "z"]).collect()}
+    table = pd.DataFrame(rows, columns=["x", "y", "z"]).corr()
+    assert all(abs(r - table.loc[a, b]) < 1e-9 for (a, b), r in found.items()) and len(found) == 3
+
+
+def test_order_of_dropped_columns():
+    """Pairs are settled by their later column; an earlier column that has lost is passed over, a later one is not."""
+    matrix = [[1, 0.99, 0.99], [0.99, 1, 0.99], [0.99, 0.99, 1]]
+    assert select.correlated(["a", "b", "c"], matrix, {"a": 1, "b": 2, "c": 3}, 0.9) == ["a", "b"]
+    assert select.correlated(["a", "b", "c"], matrix, {"a": 3, "b": 2, "c": 1}, 0.9) == ["b", "c"]
+    assert select.correlated(["a", "b"], [[1, -0.99], [-0.99, 1]], {"a": 1, "b": 1}, 0.9) == ["a"]

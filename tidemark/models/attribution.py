@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.shared import new_path
-from tidemark.sources import config
 
 # A leaf: its weighted value and, per feature on its path, the interval (low, high] and the share of
 # training rows that would go this way if the feature were unknown.
@@ -82,11 +81,6 @@ def shapley(matrix: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     return result
 
 
-def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = config.SEED) -> DataFrame:
-    """n rows chosen by a hash of their key: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
-
-
 def explain(model, df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Long table (keys, base_value, feature, value, contribution) of the margin, one row per feature."""
     leaves, base = leaf_paths(df.sparkSession, model)
@@ -135,11 +129,10 @@ def top_contributions(contributions: DataFrame, keys: list[str], n: int = 10) ->
 
 
 def generate_explanations(
-    model_a, model_b, df: DataFrame, keys: list[str], features: list[str], rows: int | None = config.EXPLAINED_ROWS
+    model_a, model_b, df: DataFrame, keys: list[str], features: list[str]
 ) -> dict[str, DataFrame]:
-    """Contributions of both models and the combined importance; ``rows`` None explains every row."""
-    chosen = df if rows is None else sample_rows(df, keys, rows)
-    first, second = (explain(m, chosen, keys, features) for m in (model_a, model_b))
+    """Contributions of both models to every row and the combined importance."""
+    first, second = (explain(m, df, keys, features) for m in (model_a, model_b))
     return {
         "contributions_a": first,
         "contributions_b": second,

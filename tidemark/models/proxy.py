@@ -110,9 +110,12 @@ def apply_proxy(
 
 def proxy_pipeline(
     df: DataFrame, path: str | None, target: str = "us_xg_per90", period: str = "season", keys: list[str] | None = None,
-    rounds: int = ROUNDS,
+    rounds: int = ROUNDS, train: bool = True,
 ) -> tuple[DataFrame, dict | None]:
-    """Load the model if it is there, else train and save it; then apply it to all rows."""
+    """Load the model if it is there, else train and save it; then apply it to all rows.
+
+    Without ``train`` nothing is fitted: where no model has been saved, the measure is NULL.
+    """
     prepared, names = proxy_features(add_shot_ratios(df))
     figures, model = None, None
     if path:
@@ -121,7 +124,7 @@ def proxy_pipeline(
         except Exception as missing:  # no model has been saved yet
             if "does not exist" not in str(missing) and "PATH_NOT_FOUND" not in str(missing):
                 raise
-    if model is None and names and target in df.columns:
+    if train and model is None and names and target in df.columns:
         sides = proxy_training_rows(prepared, names, target, period, keys or ["player_id", "league", "season"])
         if sides:
             model, figures = train_proxy(*sides, target, rounds)

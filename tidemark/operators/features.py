@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import ratio, ratio_eps
+from tidemark.functions.scalar import all_of, ratio, ratio_eps
 from tidemark.operators.order_stats import tie_cell
 from tidemark.shared import attach
 from tidemark.sources import config
@@ -254,7 +254,9 @@ def add_history(
             ),
             F.max(f"_m_{c}").over(earlier).alias(f"_bm_{c}"),
         ]
-    joined = rows.join(located.select(*segment, *before), on=segment, how="left")
+    placed = located.select(*[F.col(c).alias(f"_of_{c}") for c in segment], *before)
+    same = [F.col(entity) == F.col(f"_of_{entity}"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in segment[1:]]]
+    joined = rows.join(placed, on=all_of(same), how="left")
     joined = joined.withColumn("_n", F.col("_off") + F.col("_i") + 1)
 
     shown = F.col(entity).isNotNull() & (F.col("_n" if strict else "_all") > 1)
@@ -275,12 +277,12 @@ def add_history(
         elif kind == "max":
             result = F.greatest(F.col(f"_bm_{c}"), F.max(value).over(upto))
         else:
-            n = F.col("_n")
+            n = F.col("_n").cast("double")
             position = F.col("_off") + F.col("_i")
             weighted = F.col(f"_bx_{c}") + F.coalesce(F.sum(position * value).over(upto), F.lit(0.0))
-            # Positions run 0 .. n-1: their sum is n(n-1)/2 and n * variance term is n^2(n^2-1)/12.
-            top = n * weighted - n * (n - 1) / 2 * total
-            result = F.when((n >= 2) & (seen == n), F.try_divide(top, n * n * (n * n - 1) / 12))
+            # Positions run 0 .. n-1 with mean (n-1)/2 and sum of squared deviations n(n^2-1)/12.
+            top = weighted - (n - 1) / 2 * total
+            result = F.when((n >= 2) & (seen == n), F.try_divide(top, n * (n * n - 1) / 12))
         outputs[name] = F.when(shown, result)
     final = joined.withColumns(outputs)
     return final.select(*df.columns, *outputs)

@@ -27,8 +27,13 @@ def value_cell(value: Column) -> Column:
 
 
 def tie_cell(df: DataFrame, column: str) -> Column:
-    """Order-preserving cell of any orderable column: by value, or by the first three letters of a text."""
-    if not isinstance(df.schema[column].dataType, T.StringType):
+    """Order-preserving cell: by value, by day or second, or by the first three letters of a text."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.coalesce(F.unix_date(column).cast("long"), F.lit(-(2**63)))
+    if isinstance(kind, T.TimestampType):
+        return F.coalesce(F.unix_seconds(column), F.lit(-(2**63)))
+    if not isinstance(kind, T.StringType):
         return F.coalesce(value_cell(F.col(column)), F.lit(-(2**63)))
     letters = [F.ascii(F.substring(column, i, 1)).cast("long") for i in (1, 2, 3)]
     return F.coalesce((letters[0] * CODE_POINTS + letters[1]) * CODE_POINTS + letters[2], F.lit(-(2**63)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -51,6 +54,9 @@ def variance_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.unpivot([], columns, "feature", "variance")
 
 
+_PAIRS_PER_PASS = 150
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]):
     """Pearson matrix as a local array: its size depends on the number of columns only."""
     vectors = VectorAssembler(inputCols=columns, outputCol="_vector").transform(df.select(*columns)).select("_vector")
@@ -58,11 +64,16 @@ def correlation_matrix(df: DataFrame, columns: list[str]):
 
 
 def correlation_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair as rows (a, b, r); a size set by the column count."""
-    matrix = correlation_matrix(df, columns)
-    rows = [
-        (columns[i], columns[j], float(matrix[i][j])) for i in range(len(columns)) for j in range(i + 1, len(columns))
-    ]
+    """Pearson correlation of every column pair as rows (a, b, r), over the rows where both are known.
+
+    All pairs are summed in as few passes as one aggregate of bounded width allows.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    rows = []
+    for low in range(0, len(pairs), _PAIRS_PER_PASS):
+        part = pairs[low : low + _PAIRS_PER_PASS]
+        found = df.agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(part)]).first()
+        rows += [(a, b, r) for (a, b), r in zip(part, found)]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
@@ -73,17 +84,20 @@ def low_variance(variances: dict[str, float | None], limit: float = config.VARIA
 def correlated(
     columns: list[str], matrix, variances: dict[str, float], limit: float = config.CORRELATION_LIMIT
 ) -> list[str]:
-    """Greedy choice in column order: of a correlated pair the one with the lower variance goes.
+    """Columns to drop: of a correlated pair the one with the lower variance loses.
 
-    A pair is skipped once its earlier column is gone; a later column that is already gone still
-    counts against the earlier ones.
+    Pairs above the limit are settled in order of their later column, then of their earlier one. A pair
+    whose earlier column has lost before is passed over, one whose later column has lost is not.
     """
-    gone: set[str] = set()
-    for j, later in enumerate(columns):
-        for i, earlier in enumerate(columns[:j]):
-            if abs(matrix[i][j]) > limit and earlier not in gone:
-                gone.add(earlier if variances[later] >= variances[earlier] else later)
-    return sorted(gone)
+    strong = sorted((int(b), int(a)) for a, b in np.argwhere(np.triu(np.abs(np.asarray(matrix)) > limit, 1)))
+
+    def settle(losers: frozenset[str], pair: tuple[int, int]) -> frozenset[str]:
+        second, first = (columns[k] for k in pair)
+        if first in losers:
+            return losers
+        return losers | {min(second, first, key=lambda c: (variances[c], c == second))}
+
+    return sorted(reduce(settle, strong, frozenset()))
 
 
 def select_features(

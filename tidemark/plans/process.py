@@ -17,12 +17,17 @@ from tidemark.sources import config
 from tidemark.sources.tables import without_nan, write_report, write_table
 
 
-def feature_frame(enriched: DataFrame, proxy_path: str | None, rounds: int, strict: bool) -> tuple[DataFrame, dict | None]:
-    """Engineered features with the proxy measure in place before the interactions use it."""
+def feature_frame(
+    enriched: DataFrame, proxy_path: str | None, rounds: int, strict: bool, train: bool = True
+) -> tuple[DataFrame, dict | None]:
+    """Engineered features with the proxy measure in place before the interactions use it.
+
+    ``train`` false only loads the proxy model, as scoring must.
+    """
     figures: list[dict | None] = []
 
     def proxy(df: DataFrame) -> DataFrame:
-        applied, found = proxy_pipeline(keep(df, "rated"), proxy_path, rounds=rounds)
+        applied, found = proxy_pipeline(keep(df, "rated"), proxy_path, rounds=rounds, train=train)
         figures.append(found)
         return applied
 

@@ -13,7 +13,7 @@ from tidemark.operators.match import match_sources
 from tidemark.plans.process import feature_frame
 from tidemark.plans.train import score_rows
 from tidemark.shared import keep
-from tidemark.sources.tables import read_report, write_csv, write_table
+from tidemark.sources.tables import read_report, without_nan, write_csv, write_table
 
 # Seasons and leagues that are scored by default.
 SEASONS = ["2023-2024", "2024-2025"]
@@ -40,9 +40,10 @@ def prepare(
 
     Outliers are capped over all seasons before the filter, as the caps depend on them.
     """
+    counts, market, expected = without_nan(counts), without_nan(market), without_nan(expected)
     wanted = clean(counts).where(F.col("season").isin(seasons or SEASONS) & F.col("league").isin(leagues or LEAGUES))
     enriched = match_sources(keep(wanted, "cleaned"), market, expected)
-    return feature_frame(enriched, proxy_path, 0, False)[0]
+    return feature_frame(enriched, proxy_path, 0, False, train=False)[0]
 
 
 def score(

@@ -67,7 +67,6 @@ def train(
     trials: int = config.SEARCH_TRIALS,
     rounds: int = ROUNDS,
     method: str = "platt",
-    explained_rows: int | None = config.EXPLAINED_ROWS,
 ) -> dict[str, object]:
     """Tune on the first fold, then fit, evaluate and explain every fold."""
     numbers = numbers or [n for n, *_ in config.FOLDS]
@@ -83,7 +82,7 @@ def train(
         model_a = train_boosted(splits["train"], splits["val"], shape_a, rounds)
         model_b = train_boosted(splits["train"], splits["val"], shape_b, rounds)
         scored, measured, calibrator = evaluate_fold(model_a, model_b, splits, meta, tie, method)
-        explained = generate_explanations(model_a, model_b, splits["test"], meta, inputs.features, explained_rows)
+        explained = generate_explanations(model_a, model_b, splits["test"], meta, inputs.features)
         predictions.append(scored.withColumn("fold", F.lit(n)))
         metrics.append(keep(measured.withColumn("fold", F.lit(n)), "metrics"))
         importance.append(keep(explained["importance"].withColumn("fold", F.lit(n)), "importance"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get(_CHECKPOINT_KEY) or spark.conf.get(_CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a shared folder before running on a cluster")
     folder = spark.conf.get(_LOCAL_KEY, None)
     if folder is None:

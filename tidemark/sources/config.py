@@ -109,7 +109,6 @@ SEED = 42
 K_VALUES = [10, 20, 50, 100]
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 BLEND_WEIGHTS = (0.5, 0.5)
-EXPLAINED_ROWS = 1000
 SEARCH_TRIALS = 100
 # Verdict limits on ROC-AUC.
 VERDICTS = [(0.75, "STRONG"), (0.65, "MODERATE")]

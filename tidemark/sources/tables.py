@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalar import all_of
-from tidemark.operators.unify import upsert
+from tidemark.operators.unify import latest_per_key, upsert
 from tidemark.shared import keep
 
 KEY = ["player_id", "league", "season"]
 PARTITIONS = ["league", "season"]
-LISTED_PARTITIONS = 500
 
 
 def _schema(text: str, required: str = "player_id name league season") -> T.StructType:
@@ -97,12 +95,12 @@ SCHEMAS = {"counts": COUNTS_SCHEMA, "market": MARKET_SCHEMA, "expected": EXPECTE
 
 
 def scan(spark: SparkSession, path: str, equals: dict[str, object] | None = None) -> DataFrame:
-    """Parquet scan with optional equality filters; a filter of None is not applied."""
+    """Parquet scan with optional equality filters; a filter of None is not applied. NaN is read as NULL."""
     df = spark.read.parquet(path)
     for column, value in (equals or {}).items():
         if value is not None:
             df = df.where(F.col(column) == F.lit(value))
-    return df
+    return without_nan(df)
 
 
 def sql(spark: SparkSession, statement: str, params: dict | list | None = None, **frames: DataFrame) -> DataFrame:
@@ -141,10 +139,13 @@ def load_records(records: DataFrame, source: str) -> DataFrame:
 
 
 def write_upsert(
-    incoming: DataFrame, path: str, keys: list[str] = KEY, partitions: list[str] = PARTITIONS
+    incoming: DataFrame, path: str, keys: list[str] = KEY, partitions: list[str] = PARTITIONS, newest: str | None = None
 ) -> int:
     """Insert or replace by key in a partitioned parquet table; only the touched partitions are rewritten.
 
+    Columns that only one side has stay, NULL in the other side's rows. With ``newest`` the row with the
+    latest value of that column wins, so a late record does not replace a newer stored one; an incoming
+    row wins a tie.
     Returns the number of incoming rows, 0 leaves the table as it is. The merged rows are written to
     the shared folder first, since a table cannot be read and overwritten in one job.
     """
@@ -154,20 +155,19 @@ def write_upsert(
     if not rows:
         return 0
     try:
-        stored = spark.read.schema(incoming.schema).parquet(path)
+        stored = spark.read.option("mergeSchema", True).parquet(path)
     except Exception as missing:  # the first load finds no table
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         stored = spark.createDataFrame([], incoming.schema)
-    touched = incoming.select(*partitions).distinct()
-    listed = touched.limit(LISTED_PARTITIONS + 1).collect()
-    if len(listed) <= LISTED_PARTITIONS:
-        # Literal partition values, so that no other partition is read.
-        hit = [all_of([F.col(c).eqNullSafe(F.lit(row[c])) for c in partitions]) for row in listed]
-        affected = stored.where(reduce(lambda a, b: a | b, hit, F.lit(False)))
+    touched = keep(incoming.select(*[F.col(c).alias(f"_hit_{c}") for c in partitions]).distinct(), "touched")
+    affected = stored.join(touched, all_of([F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in partitions]), "left_semi")
+    if newest:
+        both = affected.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+        found = latest_per_key(both, keys, [F.col(newest).desc_nulls_last(), F.col("_new").desc()]).drop("_new")
     else:
-        affected = stored.join(keep(touched, "touched"), on=partitions, how="left_semi")
-    merged = keep(upsert(affected.select(*incoming.columns), incoming, keys), "merged")
+        found = upsert(affected, incoming, keys)
+    merged = keep(found, "merged")
     (
         merged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

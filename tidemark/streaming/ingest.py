@@ -15,7 +15,7 @@ def stream_upserts(records: DataFrame, source: str, path: str, checkpoint: str,
 
     def load(batch: DataFrame, _: int) -> None:
         loaded = load_records(batch, source)
-        write_upsert(latest_per_key(loaded, KEY, [F.col("scraped_at").desc()]), path)
+        write_upsert(latest_per_key(loaded, KEY, [F.col("scraped_at").desc()]), path, newest="scraped_at")
 
     writer = records.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -190,3 +190,9 @@ def test_scoring_without_proxy_fits_nothing(frame, tmp_path):
     applied, figures = proxy.proxy_pipeline(df, path, rounds=0, train=False)
     assert figures is None and not (tmp_path / "proxy").exists()
     assert applied.where("proxy_xg_per90 IS NOT NULL").count() == 0 and applied.count() == 60
+
+
+def test_best_round_waits_for_patience():
+    assert learners.best_round([5, 4, 4.5, 4.2, 3, 3.1, 3.2], 3) == (5, False)
+    assert learners.best_round([5, 4, 4.5, 4.2, 4.1, 1], 3) == (2, True)
+    assert learners.best_round([1], 3) == (1, False)

@@ -26,6 +26,7 @@ from tidemark.operators.select import align, apply_medians, fit_medians
 from tidemark.sources import config
 
 ROUNDS = 1000
+PATIENCE = 50
 # Shapes of the two boosted learners; a tree of 31 leaves is about 5 levels deep.
 SHAPE_A = {"maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 SHAPE_B = {"maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
@@ -104,6 +105,17 @@ def train_baseline(train: DataFrame, c: float = 1.0, max_iter: int = 1000, label
     return PipelineModel([scaler, learner.fit(scaler.transform(balanced))])
 
 
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Round with the least loss before ``patience`` rounds in a row bring none lower, and whether that end was reached."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def train_boosted(
     train: DataFrame,
     validation: DataFrame,
@@ -111,23 +123,28 @@ def train_boosted(
     rounds: int = ROUNDS,
     label: str = "label",
     weight: float | None = None,
-    tolerance: float = 0.001,
+    patience: int = PATIENCE,
 ) -> GBTClassificationModel:
-    """Boosted trees with class weight; stops when the validation loss no longer falls."""
+    """Boosted trees with class weight, cut at the round with the least validation loss.
+
+    Rounds are added, doubling their number, until ``patience`` of them in a row bring no lower loss. Spark
+    cannot go on with a fitted model, so each stage starts anew; equal seeds grow equal first trees.
+    """
     weight = positive_weight(train, label=label) if weight is None else weight
-    both = train.select("features", label, F.lit(False).alias("held_out")).unionByName(
-        validation.select("features", label, F.lit(True).alias("held_out"))
-    )
-    learner = GBTClassifier(
-        labelCol=label,
-        weightCol="weight",
-        validationIndicatorCol="held_out",
-        validationTol=tolerance,
-        maxIter=rounds,
-        seed=config.SEED,
-        **(shape or SHAPE_A),
-    )
-    return learner.fit(weighted(both, weight, label))
+    rows = weighted(train.select("features", label), weight, label)
+    held_out = weighted(validation.select("features", label), weight, label)
+
+    def fitted(n: int) -> GBTClassificationModel:
+        learner = GBTClassifier(labelCol=label, weightCol="weight", maxIter=n, seed=config.SEED, **(shape or SHAPE_A))
+        return learner.fit(rows)
+
+    n = min(rounds, 2 * patience)
+    while True:
+        model = fitted(n)
+        best, ended = best_round(model.evaluateEachIteration(held_out), patience)
+        if ended or n >= rounds:
+            return model if best == n else fitted(best)
+        n = min(2 * n, rounds)
 
 
 class Calibrator:

@@ -165,6 +165,60 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Columns of the entity rows under the names that the fixed formulas read.
+_AS_FORMULA_INPUTS = {
+    "goals_per90": "quantity", "xg_per90": "value / 1000", "assists_per90": "orders", "xg_assist_per90": "finished",
+    "npxg_per90": "urgent", "_coefficient": "orders / 10", "touches_per90": "quantity", "passes_per90": "value / 100",
+    "age": "orders", "minutes": "value", "shots_per90": "orders", "goals": "quantity", "games_starts": "finished",
+    "games": "orders", "assists": "urgent",
+}
+_FORMULA_INPUTS_SQL = f"""
+    SELECT entity, period, {", ".join(f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in _AS_FORMULA_INPUTS.items())} FROM ({E_SQL}) AS e
+"""
+_DERIVED_SQL = f"""
+    SELECT *, goals_per90 - xg_per90 AS xg_overperformance, assists_per90 - xg_assist_per90 AS xa_overperformance,
+           goals_per90 + assists_per90 AS goal_contribution_per90, npxg_per90 + xg_assist_per90 AS npxg_xa_per90,
+           xg_per90 * _coefficient AS league_adjusted_xg, (touches_per90 + passes_per90) / 100 AS involvement_score,
+           (27 - age) / 10 AS age_potential_factor, minutes / 3060 AS minutes_share,
+           goals_per90 / (shots_per90 + 1e-6) AS shot_conversion_rate, goals / nullif(games_starts, 0) AS goals_per_start,
+           assists / nullif(games_starts, 0) AS assists_per_start, games_starts / nullif(games, 0) AS start_ratio,
+           (goals_per90 + assists_per90) * _coefficient AS goal_contribution_league_adj
+    FROM ({_FORMULA_INPUTS_SQL}) AS inputs
+"""
+
+
+def _with_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = [F.expr(sql).cast("double").alias(name) for name, sql in _AS_FORMULA_INPUTS.items()]
+    rows = entity_periods(spark, sf_dir).select("entity", "period", *inputs)
+    return features.add_where_present(rows, features.derived_formulas())
+
+
+@query(
+    "derived_features",
+    _DERIVED_SQL,
+    ints="entity period",
+    doubles="xg_overperformance xa_overperformance goal_contribution_per90 npxg_xa_per90 league_adjusted_xg involvement_score"
+    " age_potential_factor minutes_share shot_conversion_rate goals_per_start assists_per_start start_ratio goal_contribution_league_adj",
+)
+def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed derived formulas on renamed columns."""
+    return _with_derived(spark, sf_dir)
+
+
+@query(
+    "interaction_features",
+    f"""SELECT entity, period, age_potential_factor * goal_contribution_per90 AS age_x_goal_contribution,
+               shot_conversion_rate * age_potential_factor AS conversion_x_age,
+               minutes_share * age_potential_factor AS minutes_share_x_age
+        FROM ({_DERIVED_SQL}) AS derived""",
+    ints="entity period",
+    doubles="age_x_goal_contribution conversion_x_age minutes_share_x_age",
+)
+def interaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed interaction formulas whose inputs the renamed columns have."""
+    return features.add_where_present(_with_derived(spark, sf_dir), features.interaction_formulas())
+
+
 @query(
     "coef_adjust",
     f"""SELECT entity, period, value * CASE segment WHEN 'BUILDING' THEN 0.85 WHEN 'MACHINERY' THEN 0.7

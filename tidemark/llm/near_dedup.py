@@ -144,17 +144,23 @@ def _crossing(strays: DataFrame, others: DataFrame, sets: DataFrame, percent: in
     able = keep(ranked.withColumns({"least": least, "most": most}).where("least <= most"), "able")
 
     def first(smallest: Column) -> Column:
-        """The rarest reachable shingles, one of which a partner of at least this size holds."""
+        """The rarest reachable shingles, one of which a partner of at least this size holds, and their places."""
         needed = F.ceil((n + smallest) * percent / (100 + percent)).cast("int")
-        return F.explode(F.transform(F.slice("rare", F.lit(1), F.greatest(reach - needed + 1, F.lit(0))), lambda x: x["shingle"])).alias("shingle")
+        few = F.slice("rare", F.lit(1), F.greatest(reach - needed + 1, F.lit(0)))
+        return F.inline(F.transform(few, lambda x, i: F.struct(x["shingle"].alias("shingle"), (reach - i).alias("rest"))))
+
+    def side(rows: DataFrame, sized: Column, smallest: Column, end: str) -> DataFrame:
+        own = [F.col(c).alias(f"{c}_{end}") for c in ("rep", "part", "n", "least", "most")]
+        return rows.select(sized.alias("sized"), *own, first(smallest)).withColumnRenamed("rest", f"rest_{end}")
 
     asked = able.join(strays.select("rep").distinct(), "rep", "left_semi")
     asked = asked.withColumn("sized", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))))
     smallest = F.greatest(F.col("least"), F.floor(F.pow(F.lit(_CLASS), F.col("sized")) - 0.5).cast("int"))
-    left = asked.select("sized", *[F.col(c).alias(f"{c}_a") for c in ("rep", "part", "n", "least", "most")], first(smallest))
-    right = able.select(_size_class(n).alias("sized"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "part", "n", "least", "most")], first(F.col("least")))
+    left, right = side(asked, F.col("sized"), smallest, "a"), side(able, _size_class(n), F.col("least"), "b")
     alike = (F.col("part_a") != F.col("part_b")) & F.col("n_b").between(F.col("least_a"), F.col("most_a")) & F.col("n_a").between(F.col("least_b"), F.col("most_b"))
-    met = left.join(right, ["shingle", "sized"]).where(alike)
+    # Where two partners share their first shingle, enough of both must still follow.
+    enough = (100 + percent) * F.least("rest_a", "rest_b").cast("long") >= percent * (F.col("n_a") + F.col("n_b")).cast("long")
+    met = left.join(right, ["shingle", "sized"]).where(alike & enough)
     return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 

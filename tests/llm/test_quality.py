@@ -52,3 +52,21 @@ def test_empty_tables(spark, odd, odd_rows, empty):
     assert quality.judge(empty, quality.fit(empty, none)).count() == 0
     rows = quality.judge(odd, quality.fit(odd, none)).collect()
     assert len(rows) == len(odd_rows) and all(r.kept == (not r.base_failed) for r in rows)
+
+
+def test_buckets_grow_and_junk_of_many_words_fails(spark, monkeypatch):
+    own = prose(5, 60).split()
+    text = lambda seed: " ".join(random.Random(seed).choices(own, k=120))
+    junk = lambda seed: " ".join(f"{seed}x{i}" for i in range(120))
+    docs = wide(spark, [(i, text(i), None) for i in range(200)] + [(1000 + i, junk(i), None) for i in range(150)])
+    model = quality.fit(docs, spark.createDataFrame([(i,) for i in range(100)], "doc_id long"))
+    assert len(model.ratios) >= 1 << 18
+    found = {r.doc_id: r.kept or r.base_failed for r in quality.judge(docs, model).collect()}
+    assert not any(found[1000 + i] for i in range(150)) and sum(found[i] for i in range(200)) >= 190
+    monkeypatch.setattr(quality, "_LEAST", 16)
+    assert len(quality.fit(docs, spark.createDataFrame([(0,)], "doc_id long")).ratios) == 512
+
+
+def test_equal_rows_stay_apart(spark):
+    docs = wide(spark, [(1, prose(1, 20), None)] * 3 + [(1, prose(2, 20), None), (None, None, None), (None, None, None)])
+    assert quality.judge(docs, quality.QualityModel((1.0,) * 8, 0.0, 4)).count() == 6

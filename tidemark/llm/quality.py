@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, literal_doubles, words
+from tidemark.llm.common import let, words
+from tidemark.shared import keep
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-_SLACK = 0.5
+#: Ratios are whole numbers of this part while they are summed.
+_UNIT = 1_000_000
+#: Characters of the corpus for which there is one bucket, and the least number of buckets.
+_CHARS, _LEAST = 512, 1 << 18
 
 
 @dataclass(frozen=True)
 class QualityModel:
     """Log-likelihood ratio of trusted text against the corpus for every n-gram bucket, and the least mean that passes."""
 
-    ratios: tuple[float, ...]
+    ratios: Sequence[float]
     threshold: float
     steady: int
 
@@ -80,9 +87,24 @@ def grams(own: Column, buckets: int) -> Column:
     return F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def _bucket_counts(texts: Column, rows: DataFrame, buckets: int) -> dict[int, int]:
-    exploded = rows.select(F.explode(of_words_once(texts, lambda own: grams(own, buckets))).alias("bucket"))
-    return {r["bucket"]: r["count"] for r in exploded.groupBy("bucket").count().collect()}
+def _exploded(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """One row per n-gram of a text, and one with a null bucket for a text without words."""
+    return rows.select(*keys, F.explode_outer(of_words_once(F.col("text"), lambda own: grams(own, buckets))).alias("bucket"))
+
+
+def _bucket_counts(rows: DataFrame, buckets: int, folds: int = 1) -> np.ndarray:
+    """Counts by fold and bucket; rows name their fold."""
+    own = _exploded(rows, ["fold"], buckets).where("bucket IS NOT NULL")
+    found = own.groupBy((F.col("fold") * F.lit(buckets) + F.col("bucket")).alias("place")).count().toArrow()
+    counts = np.zeros(folds * buckets, np.int64)
+    counts[found["place"].to_numpy()] = found["count"].to_numpy()
+    return counts.reshape(folds, buckets)
+
+
+def _ratios(good: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Logarithms of trusted counts against what their share of all lets expect, one added to both, in whole millionths."""
+    expected = every * (good.sum() / max(every.sum(), 1))
+    return np.rint(_UNIT * (np.log(good + 1.0) - np.log(expected + 1.0))).astype(np.int32)
 
 
 def fit(
@@ -90,47 +112,59 @@ def fit(
     trusted: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    trusted_rows: int = 8000,
-    buckets: int = 4096,
+    buckets: int | None = None,
     steady: int = 40,
     pass_share: float = 0.9999,
+    folds: int = 4,
 ) -> QualityModel:
     """Multinomials of all texts of ``docs`` and of the trusted ones among them, over hashed n-grams.
 
-    ``trusted`` holds ids of texts known to be good; at most ``trusted_rows`` of them, chosen by hash,
-    stand for the target (a broadcast of that many ids at most). The corpus side counts every row of
-    ``docs``. The driver receives one count per bucket and side. The threshold lies below the mean ratio
-    that ``pass_share`` of the trusted texts reach, by half the way from there to their median, since the
-    ratios favour the texts they come from. Without trusted texts every ratio is 0 and all pass.
+    ``trusted`` holds ids of texts known to be good; all of them are counted, as is every row of ``docs``.
+    There is a bucket for every ``_CHARS`` characters of ``docs``, rounded up to a power of two and at least
+    ``_LEAST``, unless ``buckets`` says otherwise. The driver receives one count per bucket and side, the
+    trusted side by fold. The threshold is the mean ratio that ``pass_share`` of the trusted texts reach
+    when the ratios are learned without their fold; texts that fail the base rules do not set it. Without
+    trusted texts every ratio is 0 and all pass.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = trusted.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL").distinct()
-    known = ids.count()
-    limit = min(1.0, trusted_rows / max(known, 1))
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
-    chosen = ids.where(draw < int(limit * (1 << 40))).orderBy(draw, "_id").limit(2 * trusted_rows)
-    target = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"], "left_semi")
-    good, all_texts = _bucket_counts(F.col("text"), target, buckets), _bucket_counts(F.col("text"), docs, buckets)
-    good_sum, all_sum = sum(good.values()) + buckets, sum(all_texts.values()) + buckets
-    if good_sum == buckets:
-        return QualityModel((0.0,) * buckets, -math.inf, steady)
-    ratios = tuple(
-        round(math.log((good.get(b, 0) + 1) / good_sum) - math.log((all_texts.get(b, 0) + 1) / all_sum), 6) for b in range(buckets)
-    )
-    model = QualityModel(ratios, -math.inf, steady)
-    low, middle = target.select(likeness(F.col("text"), model).alias("m")).agg(F.percentile("m", F.array(F.lit(1 - pass_share), F.lit(0.5)))).first()[0]
-    return QualityModel(ratios, low - _SLACK * (middle - low), steady)
-
-
-def likeness(text: Column, model: QualityModel) -> Column:
-    """Sum of the ratios of a text's n-grams, divided by their number and a constant that steadies short texts."""
-    table, buckets = literal_doubles(model.ratios), len(model.ratios)
-
-    def mean(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.element_at(table, b + 1))
-        return total / (F.size(found) + F.lit(model.steady))
-
-    return F.round(of_words_once(text, lambda own: let(grams(own, buckets), mean)), 9)
+    if buckets is None:
+        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        buckets = max(_LEAST, 1 << (chars // _CHARS).bit_length())
+    ids = trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    target = docs.join(keep(ids, "trusted"), "doc_id", "left_semi")
+    target = keep(target.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")), "target")
+    good = _bucket_counts(target, buckets, folds)
+    if not good.any():
+        return QualityModel(np.zeros(buckets, np.int32) / _UNIT, -math.inf, steady)
+    every = _bucket_counts(docs.withColumn("fold", F.lit(0)), buckets)[0]
+    whole = good.sum(axis=0)
+    unseen = np.concatenate([_ratios(whole - own, every) for own in good])
+    rows = target.select("doc_id", "fold", "text", base_counts(F.col("text")).alias("n")).select("doc_id", "fold", "text", "n.*").where(~_failed())
+    found = _scored(rows, ["doc_id", "fold", "n_words"], unseen, buckets, steady)
+    least = found.agg(F.percentile_approx("likeness", 1 - pass_share, 100_000)).first()[0]
+    return QualityModel(_ratios(whole, every) / _UNIT, -math.inf if least is None else least, steady)
+
+
+def _scored(rows: DataFrame, keys: list[str], table: np.ndarray, buckets: int, steady: int) -> DataFrame:
+    """``keys``, n_words among them, and likeness of every row of a table with a column text.
+
+    The likeness is the sum of the ratios of a text's n-grams, divided by their number and a constant that
+    steadies short texts. A column fold chooses among several tables of ratios, laid end to end. The table
+    reaches the workers as the value of a subquery, four bytes a bucket. N-grams are summed where they are
+    made, so that about one row per text is shuffled; the sums are of whole numbers, whatever their order.
+    """
+    one = pa.table({"ratios": pa.ListArray.from_arrays(np.array([0, len(table)], np.int32), pa.array(table, pa.int32()))})
+    ratios = rows.sparkSession.createDataFrame(one).scalar()
+    place = F.col("bucket") + F.col("fold") * F.lit(buckets) if "fold" in keys else F.col("bucket")
+    own = [*keys, "_key"]
+    each = _exploded(rows.select(*keys, F.xxhash64("text").alias("_key"), "text"), own, buckets)
+    each = each.select(*own, F.get(ratios, place).cast("long").alias("ratio"))
+    n = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
+    # Rows that are equal in all of this have met in one sum.
+    sums = each.groupBy(*own).agg(F.coalesce(F.sum("ratio"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("found"))
+    copies = (F.col("found") / F.greatest(n, F.lit(1))).cast("int")
+    mean = F.col("total") / copies / float(_UNIT) / (n + F.lit(steady))
+    return sums.select(*keys, F.explode(F.array_repeat(F.round(mean, 9), copies)).alias("likeness"))
 
 
 def judge(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +174,14 @@ def judge(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: st
     or with more than a fifth of them in repeated windows; otherwise it is kept if its likeness reaches
     the model's threshold.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), base_counts(F.col(text)).alias("n"), likeness(F.col(text), model).alias("likeness"))
-    rows = rows.select("doc_id", "n.*", "likeness")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("likeness") >= model.threshold))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    counted = rows.select("doc_id", "text", base_counts(F.col("text")).alias("n"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    table = np.rint(np.asarray(model.ratios) * _UNIT).astype(np.int32)
+    found = _scored(counted.select("doc_id", "n.*", "text"), ["doc_id", *names], table, len(table), model.steady)
+    failed = found.withColumn("base_failed", _failed())
+    return failed.withColumn("kept", ~F.col("base_failed") & (F.col("likeness") >= model.threshold))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -67,3 +67,20 @@ def test_odd_rows(spark, odd, odd_rows, empty, setting):
     assert mixing.rates(mixing.members(empty, model), model, {"a": 1.0})[0].count() == 0
     whole, _ = mixing.rates(mixing.members(odd, model), none, {"a": 1.0})
     assert mixing.mix(odd, whole).count() == len(odd_rows)
+
+
+def test_blurred_small_domain_reaches_its_target(spark):
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        c = 0.3 + 0.1 * draw.random() if i % 30 == 0 else 0.02 * draw.random()
+        b = (1 - c) * draw.random()
+        rows.append((i, i, int(draw.integers(20, 400)), [1 - b - c, b, c]))
+    members = spark.createDataFrame(rows, "doc_id long, row long, n_tokens long, posterior array<double>")
+    model = mixing.DomainModel(("good", "poor", "toxic"), np.zeros((1, 3), np.float32))
+    rated, totals = mixing.rates(members, model, {"good": 0.7, "poor": 0.29, "toxic": 0.01})
+    table = rated.collect()
+    tokens, p, rate = np.array([r.n_tokens for r in table], float), np.array([r.posterior for r in table]), np.array([r.rate for r in table])
+    wanted = np.array([0.7, 0.29, 0.01]) * tokens.sum()
+    assert (rate >= 0).all() and np.allclose((tokens * rate) @ p, wanted, rtol=1e-3)
+    assert np.allclose(list(totals.values()), wanted, rtol=1e-3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from tidemark.llm.common import ngram_matrix, sampled_rows, words
 from tidemark.shared import keep
 
 _SIZES, _DIMS = (2, 3), 4096
+#: Weight that keeps the prices finite where no rates meet the targets.
+_SOFT = 1e-9
 
 
 @dataclass(frozen=True)
@@ -109,49 +112,65 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def _rate(posterior: Column, steps: list[np.ndarray]) -> Column:
-    """Rates after the steps taken so far, starting from 1 and never below 0."""
-    if not steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    dot = lambda move: F.aggregate(F.zip_with(posterior, move, lambda p, m: p * m), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(moves, F.lit(1.0), lambda rate, move: F.greatest(F.lit(0.0), rate - dot(move)))
+def _rate(posterior: Column, price: np.ndarray) -> Column:
+    """Rates nearest to 1 for these prices of the domains, never below 0."""
+    prices = F.array(*[F.lit(float(x)) for x in price])
+    return F.greatest(F.lit(0.0), F.aggregate(F.zip_with(posterior, prices, lambda p, x: p * x), F.lit(1.0), lambda a, x: a + x))
 
 
-def rates(found: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, rounds: int = 40, tolerance: float = 1e-6) -> tuple[DataFrame, dict[str, float]]:
+def rates(found: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, rounds: int = 200, tolerance: float = 1e-6) -> tuple[DataFrame, dict[str, float]]:
     """``found`` with a column rate, and the expected tokens of every domain at those rates.
 
-    ``targets`` are shares of ``budget`` tokens (by default as many as the documents hold). Rates minimise
-    the squared distance of the expected domain totals from their targets, weighed per domain by its step
-    length, by projected gradient. Each round is one distributed sum of as many numbers as there are
-    domains; nothing else reaches the driver. A domain without a target has target 0. Without domains or
-    tokens every rate is 1.
+    ``targets`` are shares of ``budget`` tokens (by default as many as the documents hold). The rates are
+    those nearest to 1 that meet the targets, or come as near to them as can be: one price per domain is
+    found by Newton steps with halving, until the totals are within ``tolerance`` of all tokens. Each round
+    is one distributed sum of the square of as many numbers as there are domains; nothing else reaches the
+    driver. A warning names the domains whose target is not met. A domain without a target has target 0.
+    Without domains or tokens every rate is 1.
     """
     width = len(model.domains)
     if not width:
         return found.withColumn("rate", F.lit(1.0)), {}
     unknown = set(targets) - set(model.domains)
     p = [F.get("posterior", F.lit(k)) for k in range(width)]
-    sums = [F.sum(F.col("n_tokens") * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(width) for j in range(width)]
-    first = found.agg(F.sum("n_tokens").alias("tokens"), *sums).first()
+    first = found.agg(F.sum("n_tokens").alias("tokens"), *[F.sum(F.col("n_tokens") * x).alias(f"s{k}") for k, x in enumerate(p)]).first()
     tokens = float(first["tokens"] or 0)
     if not tokens:
         return found.withColumn("rate", F.lit(1.0)), {d: 0.0 for d in model.domains}
-    cross = np.array([[first[f"h{i}_{j}"] for j in range(width)] for i in range(width)])
-    scale = 1 / np.maximum(cross.sum(axis=1), 1e-12)
+    held = np.maximum([float(first[f"s{k}"]) for k in range(width)], 1e-12)
     total = sum(w for d, w in targets.items() if d not in unknown)
     wanted = np.array([targets.get(d, 0.0) / max(total, 1e-12) for d in model.domains]) * (tokens if budget is None else budget)
-    steps: list[np.ndarray] = []
-    while True:
-        rate = _rate(F.col("posterior"), steps)
-        marked = found.select("n_tokens", "posterior", rate.alias("rate"))
-        now = marked.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * p[k]).alias(f"t{k}") for k in range(width)]).first()
-        totals = np.array([float(x) for x in now])
-        off = totals - wanted
-        if len(steps) >= rounds or np.abs(off).max() <= tolerance * tokens:
+    soft = _SOFT * held
+
+    def at(price: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """What the prices minimise, the expected totals, and how the totals move with the prices."""
+        marked = found.select("n_tokens", "posterior", _rate(F.col("posterior"), price).alias("rate"))
+        n, rate = F.col("n_tokens"), F.col("rate")
+        pairs = [F.sum(F.when(rate > 0, n * p[i] * p[j]).otherwise(0.0)) for i in range(width) for j in range(i, width)]
+        now = [float(x) for x in marked.agg(F.sum(n * rate * rate), *[F.sum(n * rate * x) for x in p], *pairs).first()]
+        slope = np.zeros((width, width))
+        slope[np.triu_indices(width)] = now[1 + width :]
+        slope = slope + np.triu(slope, 1).T + np.diag(soft)
+        return now[0] / 2 - price @ wanted + (soft * price**2).sum() / 2, np.array(now[1 : 1 + width]), slope
+
+    price = np.zeros(width)
+    value, totals, slope = at(price)
+    step, part = None, 1.0
+    for _ in range(rounds):
+        gap = wanted - totals - soft * price
+        if np.abs(gap).max() <= tolerance * tokens:
             break
-        steps.append(off * scale)
-    return found.withColumn("rate", _rate(F.col("posterior"), steps)), dict(zip(model.domains, totals.tolist()))
+        if step is None:
+            step, part = np.linalg.solve(slope, gap), 1.0
+        tried = at(price + part * step)
+        if tried[0] <= value - 1e-4 * part * (gap @ step) + 1e-12 * tokens:
+            price, (value, totals, slope), step = price + part * step, tried, None
+        else:
+            part /= 2
+    missed = [d for d, miss in zip(model.domains, np.abs(totals - wanted)) if miss > 1e-3 * tokens or miss > 0.01 * wanted[model.domains.index(d)] + tolerance * tokens]
+    if missed:
+        warnings.warn(f"targets not met by any rates found: {', '.join(missed)}", stacklevel=2)
+    return found.withColumn("rate", _rate(F.col("posterior"), price)), dict(zip(model.domains, totals.tolist()))
 
 
 def mix(docs: DataFrame, rated: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -123,7 +123,7 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, splits = second_fold(spark, sf_dir)
     first, second = boosted(splits), boosted(splits, {**_SMALL, "maxDepth": 4})
-    tables = attribution.generate_explanations(first, second, splits["test"], ["row_id"], inputs.features, None)
+    tables = attribution.generate_explanations(first, second, splits["test"], ["row_id"], inputs.features)
     return tables["importance"]
 
 

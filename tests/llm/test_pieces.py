@@ -3,12 +3,13 @@ import random
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, wide
 from tidemark.llm import pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,11 +49,28 @@ def test_a_difference_is_an_error():
 
 
 def test_remembered_parts_are_bounded(monkeypatch, library):
-    monkeypatch.setattr(pieces, "_REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "_REMEMBERED", 5 * pieces._ENTRY)
     own = pieces.Pieces(PATH)
-    for text in ("a b c d e", "a b f g h i"):
+    for text in ("a b c d e", "a b f g h i", "x" * 3000):
         assert array("I", own.encode([text])[0]).tolist() == library.encode(text, add_bos=True, add_eos=True)
-        assert not own.parts
+        assert own.held <= pieces._REMEMBERED and len(own.parts) <= 4
+    own.encode(["k l"])
+    assert own.held == sum(len(p) + len(i) + pieces._ENTRY for p, i in own.parts.items())
+
+
+def test_runs_that_end_on_the_limit():
+    assert [len(r) for r in pieces._runs(pa.array(["a" * 4, None, "bb", "cc"]), 4)] == [1, 3]
+    assert list(pieces._runs(pa.array([], pa.string()))) == []
+    own = pieces.Pieces(PATH)
+    assert own.encode([]) == [] and own.decode([]) == []
+
+
+def test_text_as_long_as_a_run(spark, library):
+    text = ("word " * (1 << 18))[: 1 << 20]
+    found = pieces.round_trip(wide(spark, [(1, text, None)]), PATH).first()
+    ids = library.encode(text, add_bos=True, add_eos=True)
+    assert found.n_tokens == len(ids) and found.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert found.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_columns(spark, odd, odd_rows, empty, library):

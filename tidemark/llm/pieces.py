@@ -33,7 +33,10 @@ def _cut(text: str) -> list[str]:
     return text.split(" ")
 
 
-_REMEMBERED = 900_000
+#: Bytes of remembered parts, about; beyond them the older half is forgotten.
+_REMEMBERED = 48 << 20
+#: What an entry takes besides its characters and ids.
+_ENTRY = 200
 
 
 def _code(i: int) -> bytes:
@@ -49,6 +52,7 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.checked = checked
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         size = self.library.get_piece_size()
         names = [self.library.id_to_piece(i) for i in range(size)]
         special = [self.library.is_control(i) or self.library.is_unknown(i) for i in range(size)]
@@ -113,13 +117,20 @@ class Pieces:
         if self.checked:
             self._compare(fresh, found)
         parts.update(zip(fresh, found))
+        self.held += sum(map(len, fresh)) + sum(map(len, found)) + _ENTRY * len(fresh)
         first = _code(self.library.bos_id()) if begin else b""
         last = _code(self.library.eos_id()) if end else b""
         result = [first + b"".join([parts[p] for p in own]) + last for own in cut]
-        if len(parts) > _REMEMBERED:
-            parts.clear()
+        if self.held > _REMEMBERED:
+            self._forget()
         return result
 
+    def _forget(self) -> None:
+        """Keep the newer half of the parts, and none where that is still too much."""
+        newer = list(self.parts.items())[len(self.parts) // 2 + 1 :]
+        held = sum(len(p) + len(ids) + _ENTRY for p, ids in newer)
+        self.parts, self.held = (dict(newer), held) if held <= _REMEMBERED else ({}, 0)
+
     def _compare(self, parts: list[str], found: list[bytes]) -> None:
         """Raise if the library encodes a part otherwise. A part that is empty stands for a lone blank."""
         other = self.library.encode([p.replace(BLANK, " ") or BLANK for p in parts], num_threads=1)
@@ -133,6 +144,8 @@ class Pieces:
 
         With ``checked`` the library must give the same. Byte pieces that are no UTF-8 are left to it.
         """
+        if not rows:
+            return []
         texts = []
         for row in rows:
             try:
@@ -151,7 +164,8 @@ def pieces(path: str, checked: bool = True) -> Pieces:
     return Pieces(path, checked)
 
 
-def _runs(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+def _runs(texts: pa.Array, size: int = 1 << 19) -> Iterator[list[str]]:
+    """Texts in runs of about ``size`` characters, none of them empty."""
     run, held = [], 0
     for text in texts:
         run.append(text.as_py() or "")
@@ -159,7 +173,8 @@ def _runs(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
         if held >= size:
             yield run
             run, held = [], 0
-    yield run
+    if run:
+        yield run
 
 
 def encode(text: Column, path: str, begin: bool = True, end: bool = True, checked: bool = True) -> Column:
@@ -169,7 +184,7 @@ def encode(text: Column, path: str, begin: bool = True, end: bool = True, checke
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = [row for run in _runs(texts) for row in pieces(path, checked).encode(run, begin, end)]
-            places = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+            places = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows], dtype=np.int64)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
     return ids(text)

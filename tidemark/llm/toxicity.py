@@ -28,8 +28,8 @@ _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 #: Weight of all ordinary words together, against 1 for all insults.
 _ORDINARY = 20.0
 _FLOOR = -0.5
-_KNOWN = 400_000
-_CHUNK = 4 << 20
+_KNOWN = 120_000
+_CHUNK = 1 << 20
 #: Words a worker has judged, by model: all of them, and the margins of those above the floor.
 _JUDGED: dict[bytes, tuple[set[str], dict[str, float]]] = {}
 
@@ -326,7 +326,8 @@ def _chunks(texts: pa.Array) -> Iterator[list[str]]:
         if size >= _CHUNK:
             yield run
             run, size = [], 0
-    yield run
+    if run:
+        yield run
 
 
 def highest(text: Column, model: ToxicityModel) -> Column:
@@ -363,8 +364,9 @@ def highest(text: Column, model: ToxicityModel) -> Column:
                     first.append(found[0])
                     second.append(found[1])
                 if len(known) > _KNOWN:
-                    known.clear()
-                    telling.clear()
+                    for t in list(known)[_KNOWN // 2 :]:
+                        known.discard(t)
+                        telling.pop(t, None)
             yield pa.StructArray.from_arrays([pa.array(first, pa.float64()), pa.array(second, pa.float64())], ["first", "second"])
 
     return judged(F.coalesce(text, F.lit("")))

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, mixing, near_dedup, pieces, quality, secret_scan, substrings, toxicity, warc
+from tidemark.llm import fingerprints, language, merkle, mixing, near_dedup, pieces, quality, ranking, secret_scan, substrings, token_counts, toxicity, warc
 from tidemark.llm.common import fold, held_out, read
+from tidemark.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,6 +111,24 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return ranking.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proof of every document, and whether the proof of a changed one still leads to the root."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, by way of a new cache: every distinct text is a miss once."""
+    return token_counts.count(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
+
+
 ORACLES["op8_warc"] = """
     SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
            CASE WHEN strlen(payload) >= 1000 AND last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
@@ -164,3 +183,71 @@ ORACLES["op10_near_dedup"] = f"""
            coalesce(component, sets.doc_id) = sets.doc_id AS kept
     FROM sets LEFT JOIN classes ON list_sort(sets.items) = classes.items LEFT JOIN roots ON roots.node = classes.rep
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_ranking"] = f"""
+    WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS terms FROM documents),
+    sizes AS (SELECT count(*) AS total, sum(len(terms))::BIGINT AS length FROM docs WHERE len(terms) > 0),
+    held AS (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs),
+    tfs AS (SELECT r, doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+    asked AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM tfs, sizes WHERE term IN (SELECT term FROM asked) GROUP BY term),
+    parts AS (
+        SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // length))) AS part
+        FROM tfs JOIN weights USING (term), sizes),
+    scores AS (SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY ALL),
+    ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank, doc_id, score
+        FROM scores WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')])),
+                        lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))"""
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _climb(tree: str, start: str, name: str, levels: int = 8) -> str:
+    """Levels of trees named by ``tree`` and, for every row of ``start`` (row, tree, k, n, folded, proof), its way to their root.
+
+    A tree of one node is carried along unchanged; eight levels hold 16^8 leaves.
+    """
+    steps = []
+    for i in range(levels):
+        below, rows = f"{name}_{i}", f"{name}_way_{i}"
+        steps.append(f"""{name}_runs_{i} AS (SELECT {tree}, k // 16 AS run, n, list(hash ORDER BY k) AS hashes FROM {below} GROUP BY ALL),
+    {name}_{i + 1} AS (SELECT {tree}, run AS k, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hashes, '')) ELSE hashes[1] END AS hash FROM {name}_runs_{i}),
+    {name}_way_{i + 1} AS (
+        SELECT w.* EXCLUDE (k, n, folded, proof), w.k // 16 AS k, (w.n + 15) // 16 AS n,
+               CASE WHEN w.n > 1 THEN sha256(coalesce(array_to_string(hashes[: w.k % 16], ''), '') || folded || coalesce(array_to_string(hashes[w.k % 16 + 2 :], ''), '')) ELSE folded END AS folded,
+               CASE WHEN w.n > 1 THEN proof || coalesce(array_to_string(hashes[: w.k % 16], ''), '') || coalesce(array_to_string(hashes[w.k % 16 + 2 :], ''), '') ELSE proof END AS proof
+        FROM {rows} AS w JOIN {name}_runs_{i} AS r ON r.{tree} = w.{tree} AND r.run = w.k // 16)""")
+    return f"{name}_way_0 AS ({start}),\n    " + ",\n    ".join(steps)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_TAMPERED = " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars", _LOWERED))
+
+ORACLES["op12_manifest"] = f"""
+    WITH leaves AS (
+        SELECT doc_id, source, sha256({_LEAF}) AS leaf,
+               CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL AND xor({_CRC}, 4294967295) % 5 = 0 THEN sha256({_TAMPERED}) END AS tampered
+        FROM documents),
+    placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k,
+               count(*) OVER (PARTITION BY source) AS n
+        FROM leaves),
+    inner_0 AS (SELECT src, k, n, leaf AS hash FROM placed),
+    {_climb("src", "SELECT doc_id, leaf, src, k, n, coalesce(tampered, leaf) AS folded, '' AS proof FROM placed", "inner")},
+    outer_0 AS (SELECT 0 AS top, src AS k, (SELECT count(*) FROM inner_8) AS n, hash FROM inner_8),
+    {_climb("top", "SELECT doc_id, leaf, src, 0 AS top, src AS k, (SELECT count(*) FROM inner_8) AS n, folded, proof FROM inner_way_8", "outer")}
+    SELECT w.doc_id, w.leaf, s.hash AS subroot, r.hash AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = r.hash AS verified
+    FROM outer_way_8 AS w JOIN inner_8 AS s ON s.src = w.src, outer_8 AS r
+"""

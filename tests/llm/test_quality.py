@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 
@@ -27,7 +28,7 @@ def test_counts_equal_brute_force(spark, odd, odd_rows):
 
 
 def test_likeness_separates_trusted_text(spark):
-    words = prose(77, 12).split()
+    words = prose(77, 40).split()
     text = lambda seed: " ".join(random.Random(seed).choices(words, k=80))
     good = [(i, text(i), None) for i in range(80)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in text(i).split()), None) for i in range(20)]
@@ -54,17 +55,47 @@ def test_empty_tables(spark, odd, odd_rows, empty):
     assert len(rows) == len(odd_rows) and all(r.kept == (not r.base_failed) for r in rows)
 
 
-def test_buckets_grow_and_junk_of_many_words_fails(spark, monkeypatch):
+def test_junk_of_many_words_fails(spark):
     own = prose(5, 60).split()
     text = lambda seed: " ".join(random.Random(seed).choices(own, k=120))
     junk = lambda seed: " ".join(f"{seed}x{i}" for i in range(120))
     docs = wide(spark, [(i, text(i), None) for i in range(200)] + [(1000 + i, junk(i), None) for i in range(150)])
     model = quality.fit(docs, spark.createDataFrame([(i,) for i in range(100)], "doc_id long"))
-    assert len(model.ratios) >= 1 << 18
+    assert len(model.ratios) == 1 << 20
     found = {r.doc_id: r.kept or r.base_failed for r in quality.judge(docs, model).collect()}
     assert not any(found[1000 + i] for i in range(150)) and sum(found[i] for i in range(200)) >= 190
-    monkeypatch.setattr(quality, "_LEAST", 16)
-    assert len(quality.fit(docs, spark.createDataFrame([(0,)], "doc_id long")).ratios) == 512
+
+
+def test_fit_equals_brute_force(spark):
+    """Ratios and threshold against plain counting; buckets come from the built-in hash."""
+    own = prose(6, 30).split()
+    texts = {i: " ".join(random.Random(i).choices(own, k=15 + i % 7)) if i % 4 else f"odd {i} " * 6 for i in range(60)}
+    trusted, buckets, folds = [i for i in range(60) if i % 4 and i % 2], 64, 4
+    docs = wide(spark, [(i, t, None) for i, t in texts.items()] + [(None, None, None)])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    of = {r.doc_id: (r.fold, r.grams) for r in rows.selectExpr(
+        "doc_id", f"pmod(xxhash64(doc_id), {folds}) AS fold",
+        f"transform(concat(transform(split(trim(text), ' +'), w -> xxhash64(w)), transform(sequence(1, size(split(trim(text), ' +')) - 1), i -> xxhash64(slice(split(trim(text), ' +'), i, 2)))), h -> pmod(h, {buckets}L)) AS grams").collect()}
+    count = lambda ids: collections.Counter(g for i in ids for g in of[i][1])
+    every = count(texts)
+
+    def ratios(ids):
+        good = count(ids)
+        share = sum(good.values()) / sum(every.values())
+        return [round(1e6 * (math.log(good[b] + 1) - math.log(every[b] * share + 1))) for b in range(buckets)]
+
+    def likeness(i, table):
+        return sum(table[g] for g in of[i][1]) / 1e6 / (len(of[i][1]) + 40)
+
+    unseen = [ratios([i for i in trusted if of[i][0] != f]) for f in range(folds)]
+    passing = [i for i in trusted if not (lambda n: n[0] < 10 or 100 * n[4] > 20 * n[0])(brute(texts[i]))]
+    steps = sorted(math.floor(round(likeness(i, unseen[of[i][0]]), 9) * 10000) for i in passing)
+    for share in (0.9999, 0.8):
+        model = quality.fit(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), buckets=buckets, pass_share=share, folds=folds)
+        assert [round(r * 1e6) for r in model.ratios] == ratios(trusted)
+        assert model.threshold == steps[max(0, math.ceil((1 - share) * len(steps) - 1e-9) - 1)] / 10000
+        for r in quality.judge(docs, model).where("doc_id IS NOT NULL").collect():
+            assert abs(r.likeness - likeness(r.doc_id, ratios(trusted))) < 1e-8
 
 
 def test_equal_rows_stay_apart(spark):

@@ -18,8 +18,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Ratios are whole numbers of this part while they are summed.
 _UNIT = 1_000_000
-#: Characters of the corpus for which there is one bucket, and the least number of buckets.
-_CHARS, _LEAST = 512, 1 << 18
+#: The threshold is a whole number of this part, so that the values it is chosen from are few.
+_STEP = 10_000
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,8 @@ def of_words_once(text: Column, body) -> Column:
 
 def grams(own: Column, buckets: int) -> Column:
     """Buckets of the single words and of the pairs of neighbours."""
-    pair = F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.xxhash64(F.slice(own, i, 2)))
+    count = F.size(own) - 1
+    pair = F.zip_with(F.slice(own, F.lit(1), count), F.slice(own, F.lit(2), count), lambda a, b: F.xxhash64(a, b))
     single = F.transform(own, lambda w: F.xxhash64(w))
     hashes = F.when(F.size(own) > 1, F.concat(single, pair)).otherwise(single)
     return F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
@@ -92,13 +93,13 @@ def _exploded(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return rows.select(*keys, F.explode_outer(of_words_once(F.col("text"), lambda own: grams(own, buckets))).alias("bucket"))
 
 
-def _bucket_counts(rows: DataFrame, buckets: int, folds: int = 1) -> np.ndarray:
-    """Counts by fold and bucket; rows name their fold."""
-    own = _exploded(rows, ["fold"], buckets).where("bucket IS NOT NULL")
-    found = own.groupBy((F.col("fold") * F.lit(buckets) + F.col("bucket")).alias("place")).count().toArrow()
-    counts = np.zeros(folds * buckets, np.int64)
+def _counted(rows: DataFrame, buckets: int, sides: int) -> np.ndarray:
+    """Counts by side and bucket; a column side names the side of a row. Counts are united in each task."""
+    own = _exploded(rows, ["side"], buckets).where("bucket IS NOT NULL")
+    found = own.groupBy((F.col("side") * F.lit(buckets) + F.col("bucket")).alias("place")).count().toArrow()
+    counts = np.zeros(sides * buckets, np.int64)
     counts[found["place"].to_numpy()] = found["count"].to_numpy()
-    return counts.reshape(folds, buckets)
+    return counts.reshape(sides, buckets)
 
 
 def _ratios(good: np.ndarray, every: np.ndarray) -> np.ndarray:
@@ -112,37 +113,34 @@ def fit(
     trusted: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    buckets: int | None = None,
+    buckets: int = 1 << 20,
     steady: int = 40,
     pass_share: float = 0.9999,
     folds: int = 4,
 ) -> QualityModel:
     """Multinomials of all texts of ``docs`` and of the trusted ones among them, over hashed n-grams.
 
-    ``trusted`` holds ids of texts known to be good; all of them are counted, as is every row of ``docs``.
-    There is a bucket for every ``_CHARS`` characters of ``docs``, rounded up to a power of two and at least
-    ``_LEAST``, unless ``buckets`` says otherwise. The driver receives one count per bucket and side, the
-    trusted side by fold. The threshold is the mean ratio that ``pass_share`` of the trusted texts reach
-    when the ratios are learned without their fold; texts that fail the base rules do not set it. Without
-    trusted texts every ratio is 0 and all pass.
+    ``trusted`` holds ids of texts known to be good; all of them are counted, as is every row of ``docs``, in
+    one pass. The model has ``buckets`` numbers whatever the corpus; the driver receives so many counts for
+    the corpus and for each fold of the trusted texts. The threshold is the mean ratio that ``pass_share`` of
+    the trusted texts reach when the ratios are learned without their fold, by exact rank; texts that fail
+    the base rules do not set it. Without trusted texts every ratio is 0 and all pass.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if buckets is None:
-        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-        buckets = max(_LEAST, 1 << (chars // _CHARS).bit_length())
     ids = trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    target = docs.join(keep(ids, "trusted"), "doc_id", "left_semi")
-    target = keep(target.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")), "target")
-    good = _bucket_counts(target, buckets, folds)
+    side = F.when(F.col("known"), F.pmod(F.xxhash64("doc_id"), F.lit(folds)) + 1).otherwise(0).cast("int")
+    marked = docs.join(keep(ids.withColumn("known", F.lit(True)), "trusted"), "doc_id", "left").withColumn("side", side)
+    counts = _counted(marked, buckets, folds + 1)
+    good, every = counts[1:], counts.sum(axis=0)
     if not good.any():
         return QualityModel(np.zeros(buckets, np.int32) / _UNIT, -math.inf, steady)
-    every = _bucket_counts(docs.withColumn("fold", F.lit(0)), buckets)[0]
     whole = good.sum(axis=0)
     unseen = np.concatenate([_ratios(whole - own, every) for own in good])
-    rows = target.select("doc_id", "fold", "text", base_counts(F.col("text")).alias("n")).select("doc_id", "fold", "text", "n.*").where(~_failed())
-    found = _scored(rows, ["doc_id", "fold", "n_words"], unseen, buckets, steady)
-    least = found.agg(F.percentile_approx("likeness", 1 - pass_share, 100_000)).first()[0]
-    return QualityModel(_ratios(whole, every) / _UNIT, -math.inf if least is None else least, steady)
+    rows = marked.where("side > 0").select((F.col("side") - 1).alias("fold"), "text", base_counts(F.col("text")).alias("n")).select("fold", "text", "n.*").where(~_failed())
+    found = _scored(rows, ["fold", "n_words"], unseen, buckets, steady)
+    steps = found.select(F.floor(F.col("likeness") * _STEP).alias("step"))
+    least = steps.agg(F.expr(f"percentile_disc({1 - pass_share!r}) WITHIN GROUP (ORDER BY step)")).first()[0]
+    return QualityModel(_ratios(whole, every) / _UNIT, -math.inf if least is None else least / _STEP, steady)
 
 
 def _scored(rows: DataFrame, keys: list[str], table: np.ndarray, buckets: int, steady: int) -> DataFrame:

@@ -88,3 +88,26 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     kept = near_dedup.keep_first(odd)
     expected = {c for _, _, c in brute(odd_rows, 5)}
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == expected | {None}
+
+
+def test_repeated_ids_keep_the_links_of_each_row(spark):
+    a, b = prose(11, 60), prose(12, 60)
+    rows = [(40, a, None), (40, b, None), (45, a, None), (50, b + " end", None), (60, b + " end here", None), (61, a.upper(), None), (70, prose(13, 60), None)]
+    found = near_dedup.link(wide(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
+    assert {r.doc_id: r.component_id for r in found} == {40: 40, 45: 40, 50: 40, 60: 40, 61: 40, 70: 70}
+
+
+def test_bands_meet_just_above_the_limit():
+    """All of 2000 pairs of similarity 0.80 to 0.85 share a band."""
+    draw = np.random.default_rng(7)
+    left, right = [], []
+    for _ in range(2000):
+        n = int(draw.integers(20, 200))
+        union = draw.integers(0, 2**63, n, dtype=np.uint64)
+        common = int(np.ceil(n * draw.uniform(0.80, 0.85)))
+        only = (n - common) // 2
+        left.append(union[: common + only])
+        right.append(np.concatenate([union[:common], union[common + only :]]))
+    keys = [near_dedup.band_keys(near_dedup.sketches(np.concatenate(s), np.repeat(np.arange(2000), [len(x) for x in s]), 2000)) for s in (left, right)]
+    assert (keys[0] == keys[1]).any(axis=1).all()

@@ -167,7 +167,7 @@ def _crossing(strays: DataFrame, others: DataFrame, sets: DataFrame, percent: in
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) per row of ``docs``; other columns are ignored.
 
-    Texts with equal sets form a class, which takes part once, under its least id. Classes that share a
+    Texts with equal sets form a class, which takes part once, named by its least id and the hash of its set. Classes that share a
     band meet first the least class of the band; the one a class meets most often is compared with it.
     Then classes outside the main component of a band are compared with all classes of the band in other
     components that could be alike, so no link between components is lost. Nearly all pairs are ruled out
@@ -186,21 +186,19 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         _banded("set").alias("bands"),
     )
     marked = keep(keyed, "sketches")
-    classes = keep(
-        marked.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "classes",
-    )
+    united = marked.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # An id may be the least of several classes, so the hash is part of the name.
+    classes = keep(united.select("k1", "k2", F.struct("id", "k1").alias("rep"), "n", "bands"), "classes")
     members = classes.select(F.explode("bands").alias("band"), "rep", "n")
     heads = members.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("band", "head")
     met = keep(members.join(heads, "band"), "members")
     spokes = met.where("rep <> head").groupBy("rep", "head").count()
     first = spokes.groupBy("rep").agg(F.min_by("head", F.struct(-F.col("count"), F.col("head"))).alias("head"))
     first = keep(first.select(F.col("head").alias("a"), F.col("rep").alias("b")), "pairs")
-    wanted = met.select("rep").distinct()
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("_text")).join(wanted, "rep")
-    found = texts.select("rep", shingle_set(F.col("_text"), size).alias("set"))
-    of_class = classes.select("rep", "k1", "k2")
-    sets = found.join(of_class, "rep").where((F.xxhash64("set") == F.col("k1")) & (F.xxhash64(F.lit(1), F.col("set")) == F.col("k2")))
+    wanted = classes.select("rep", "k1", "k2").join(met.select("rep").distinct(), "rep")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("rep.id"))
+    found = texts.select("rep", "k1", "k2", shingle_set(F.col("_text"), size).alias("set"))
+    sets = found.where((F.xxhash64("set") == F.col("k1")) & (F.xxhash64(F.lit(1), F.col("set")) == F.col("k2")))
     sets = keep(sets.select("rep", "set").dropDuplicates(["rep"]), "sets")
     linked = keep(_confirmed(first, sets, percent), "links")
     tied = components(linked)
@@ -215,7 +213,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     crossed = crossed.join(first, ["a", "b"], "left_anti")
     linked = linked.union(keep(_confirmed(keep(crossed, "pairs"), sets, percent), "links"))
     tied = components(linked).withColumnRenamed("node", "rep")
-    places = classes.select("k1", "k2", "rep").join(tied, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("part"))
+    places = classes.select("k1", "k2", "rep").join(tied, "rep", "left").select("k1", "k2", F.coalesce("component", "rep")["id"].alias("part"))
     result = marked.select("doc_id", "n_shingles", "k1", "k2").join(places, ["k1", "k2"], "left")
     component = F.coalesce("part", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

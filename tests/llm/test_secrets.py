@@ -76,3 +76,25 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert len(found) == len(odd_rows) and all(r.spans == "" and r.n_hex == 0 for r in found)
     assert secret_scan.report(empty, secret_scan.fit(empty)).count() == 0
     assert secret_scan.redact(odd, model).exceptAll(odd).count() == 0
+
+
+def test_the_rest_of_a_run_is_judged(spark):
+    """With a model that takes every pair of characters for random, all runs outside the base spans are found."""
+    model = secret_scan.SecretModel((1.0,) * len(secret_scan.ALPHABET) ** 2, 0.5)
+    draw = random.Random(4)
+    code = lambda n: "".join(draw.choices("GHIJKLMNghijklmn", k=n))
+    texts = [f"a AKIA{'Q7' * 8}/{code(28)} z", f"é {code(25)}_{'0123456789abcdef' * 2}-{code(25)} z", f"AKIA{'Q7' * 8}/{code(18)}", f"{code(12)}/AKIA{'Q7' * 8}+{code(19)}"]
+    docs = wide(spark, [(i, t, None) for i, t in enumerate(texts)])
+    found = {r.doc_id: r.spans for r in secret_scan.report(docs, model).collect()}
+    assert found == {0: "access:2:22,random:22:51", 1: "random:2:28,hex:28:60,random:60:86", 2: "access:0:20", 3: "access:13:33,random:33:53"}
+    rest = {r.doc_id: r.text for r in secret_scan.redact(docs, model).collect()}
+    assert rest[0] == "a [SECRET][SECRET] z" and rest[1] == "é [SECRET][SECRET][SECRET] z"
+
+
+def test_thousands_of_secrets_in_one_text(spark):
+    text = " ".join(f"AKIA{i:016d}/{prose(i, 8).replace(' ', '')[:24]} token={i:010d}" for i in range(3000))
+    model = secret_scan.fit(wide(spark, [(i, t, None) for i, t in enumerate(samples())]))
+    row = secret_scan.report(wide(spark, [(1, text, None)]), model).first()
+    spans = brute(text)
+    assert (row.n_assign, row.n_access) == (3000, 3000) and row.base_sha256 == hashlib.sha256(written(spans).encode()).hexdigest()
+    assert set(written(spans).split(",")) <= set(row.spans.split(","))

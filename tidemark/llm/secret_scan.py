@@ -56,13 +56,28 @@ def _spans(text: Column, pattern: str, rank: int, least: int, group: int = 0) ->
     return F.when(text.rlike(pattern), let(between, placed)).otherwise(F.array().cast(_SPAN))
 
 
+#: The base kinds: pattern, least length, and the group of the pattern that must have it. Runs too short for hex or access are passed over by length in the pattern.
+_BASE = ((ASSIGN, ASSIGN_LEAST, 2), ("AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4), ACCESS_LEAST, 0), ("[0-9a-f]{%d,}" % HEX_LEAST, HEX_LEAST, 0))
+
+
 def base_spans(text: Column) -> Column:
-    """Struct of the spans of each base kind. Runs too short for hex or access are passed over by length in the pattern."""
-    return F.struct(
-        _spans(text, ASSIGN, 0, ASSIGN_LEAST, group=2).alias("assign"),
-        _spans(text, "AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4), 1, ACCESS_LEAST).alias("access"),
-        _spans(text, "[0-9a-f]{%d,}" % HEX_LEAST, 2, HEX_LEAST).alias("hex"),
-    )
+    """Struct of the spans of each base kind."""
+    return F.struct(*[_spans(text, pattern, rank, least, group).alias(_KINDS[rank]) for rank, (pattern, least, group) in enumerate(_BASE)])
+
+
+def _blanked(least: int):
+    return lambda m, j: F.when(F.length(j) >= least, F.repeat(F.lit(" "), F.length(m))).otherwise(m)
+
+
+def _without_base(text: Column) -> Column:
+    """The text with blanks in place of the matches of the base kinds, so that all other characters keep their place."""
+    for pattern, least, group in _BASE:
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        cleared = F.zip_with(matches, judged, _blanked(least))
+        parts = F.zip_with(F.split(text, pattern), cleared, lambda own, m: F.concat(own, F.coalesce(m, F.lit(""))))
+        text = F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+    return text
 
 
 def _pairs(token: Column) -> Column:
@@ -113,18 +128,23 @@ def fit(docs: DataFrame, text: str = "text", sample_rows: int = 60000, ordinary_
 
 
 def _random_runs(text: Column, base: Column, model: SecretModel) -> Column:
-    """Spans of runs that touch no base span and whose mean ratio reaches the threshold."""
+    """Spans of runs outside the base spans whose mean ratio reaches the threshold.
+
+    What is left of a run on either side of a base span is a run of its own if it is long enough.
+    """
     if math.isinf(model.threshold):
         return F.array().cast(_SPAN)
     table = literal_doubles(model.ratios)
-    runs = _spans(text, _RUN, 3, 0)
+    free = lambda span: ~F.exists(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
 
-    def ratio(span: Column) -> Column:
-        token = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
-        return let(_pairs(token), lambda own: F.aggregate(own, F.lit(0.0), lambda a, p: a + F.element_at(table, p + 1)) / F.size(own))
+    def judged(left: Column) -> Column:
+        def ratio(span: Column) -> Column:
+            token = F.substring(left, span["start"] + 1, span["stop"] - span["start"])
+            return let(_pairs(token), lambda own: F.aggregate(own, F.lit(0.0), lambda a, p: a + F.element_at(table, p + 1)) / F.size(own))
 
-    free = lambda span: ~F.exists(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
-    return F.filter(runs, lambda span: free(span) & (ratio(span) >= model.threshold))
+        return F.filter(_spans(left, _RUN, 3, 0), lambda span: free(span) & (ratio(span) >= model.threshold))
+
+    return let(F.when(F.size(base) > 0, _without_base(text)).otherwise(text), judged)
 
 
 def find(docs: DataFrame, model: SecretModel, text: str = "text", name: str = "spans") -> DataFrame:

@@ -84,3 +84,17 @@ def test_blurred_small_domain_reaches_its_target(spark):
     wanted = np.array([0.7, 0.29, 0.01]) * tokens.sum()
     assert (rate >= 0).all() and np.allclose((tokens * rate) @ p, wanted, rtol=1e-3)
     assert np.allclose(list(totals.values()), wanted, rtol=1e-3)
+
+
+def test_kept_rows_have_the_shares(spark):
+    """With an upper bound the rows that stay, not only all rates, hit the targets."""
+    rows = [(i, (" ".join(w + "%%" for w in prose(i, 40).split()) if i % 5 == 0 else prose(i, 40)), None) for i in range(3000)]
+    docs = wide(spark, rows)
+    labels = spark.createDataFrame([(i, "b" if i % 5 == 0 else "a") for i in range(0, 3000, 3)], "doc_id long, domain string")
+    model = mixing.fit(docs, labels)
+    rated, totals = mixing.rates(mixing.members(docs, model), model, {"a": 0.95, "b": 0.05}, upper=1.0)
+    assert rated.where("rate < 0 OR rate > 1").count() == 0
+    assert abs(totals["b"] / sum(totals.values()) - 0.05) < 1e-5
+    kept = [r.doc_id for r in mixing.mix(docs, rated).collect()]
+    good = sum(i % 5 > 0 for i in kept)
+    assert good >= 0.97 * 2400 and abs((len(kept) - good) / len(kept) - 0.05) < 0.015

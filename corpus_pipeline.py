@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
     labels = read(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
     model = mixing.fit(docs, labels)
-    rated, _ = mixing.rates(mixing.members(docs, model), model, TARGETS)
+    rated, _ = mixing.rates(mixing.members(docs, model), model, TARGETS, upper=1.0)
     return mixing.mix(docs, rated)
 
 

@@ -193,20 +193,22 @@ def _stems(token: Column) -> Column:
     return F.array_union(F.array(token), F.array_compact(starts))
 
 
-def _without_near_copies(sample: DataFrame, times: int = 4) -> DataFrame:
-    """Drop texts that agree with a kept one in one of ``times`` minimum hashes of their word pairs.
+def _without_near_copies(sample: DataFrame, bands: int = 3, band: int = 2) -> DataFrame:
+    """Drop texts that agree with a kept one of the same label in all ``band`` minimum hashes of one of ``bands``.
 
-    Groups of near copies would make every word of theirs look as if it followed the label.
+    Groups of near copies would make every word of theirs look as if it followed the label. Hashes are of
+    word pairs; texts that differ in label are never united.
     """
     own = F.transform(words(F.col("_text")), lambda w: F.xxhash64(w))
     pairs = F.when(F.size(own) > 1, F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), F.slice(own, F.lit(2), F.size(own) - 1), lambda x, y: F.xxhash64(x, y))).otherwise(own)
     marked = sample.withColumn("_pairs", pairs)
-    for k in range(times):
-        marked = marked.withColumn(f"_least{k}", F.coalesce(F.array_min(F.transform("_pairs", lambda x, k=k: F.xxhash64(x, F.lit(k)))), F.lit(0)))
+    least = lambda k: F.coalesce(F.array_min(F.transform("_pairs", lambda x: F.xxhash64(x, F.lit(k)))), F.lit(0))
+    for b in range(bands):
+        marked = marked.withColumn(f"_band{b}", F.xxhash64(*[least(b * band + k) for k in range(band)]))
     marked = marked.drop("_pairs")
-    for k in range(times):
-        first = marked.groupBy(f"_least{k}").agg(F.min_by(F.struct("_text", "_y", *[f"_least{i}" for i in range(k + 1, times)]), F.xxhash64("_text")).alias("_row"))
-        marked = first.select("_row.*")
+    for b in range(bands):
+        first = marked.groupBy(f"_band{b}", "_y").agg(F.min_by(F.struct("_text", *[f"_band{i}" for i in range(b + 1, bands)]), F.xxhash64("_text")).alias("_row"))
+        marked = first.select("_y", "_row.*")
     return marked
 
 
@@ -273,7 +275,6 @@ def fit(
     repeated = max(units.where(F.col("bad") + F.col("good") > 1).count(), 2)
     found = stems.where((F.length("stem") >= 4) & telling & (surprise > 2 * float(np.log(repeated))))
     ranked = found.select("stem", "bad", "good", surprise.alias("surprise")).orderBy(F.desc("surprise"), "stem").limit(positive_units).collect()
-    ranked = [r for r in ranked if r["surprise"] >= 0.1 * ranked[0]["surprise"]]
     starts = {r["stem"] for r in ranked}
     if not starts:
         return nothing

@@ -33,8 +33,8 @@ def _cut(text: str) -> list[str]:
     return text.split(" ")
 
 
-#: Bytes of remembered parts, about; beyond them the older half is forgotten.
-_REMEMBERED = 48 << 20
+#: Bytes of remembered parts, about, in two halves: when the newer is full, the older is forgotten.
+_REMEMBERED = 96 << 20
 #: What an entry takes besides its characters and ids.
 _ENTRY = 200
 
@@ -52,6 +52,7 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.checked = checked
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         size = self.library.get_piece_size()
         names = [self.library.id_to_piece(i) for i in range(size)]
@@ -110,27 +111,24 @@ class Pieces:
 
         With ``checked`` every part not met before is encoded by the library too; a difference is an error.
         """
-        parts = self.parts
         cut = [_cut(t) for t in texts]
-        fresh = list({p for own in cut for p in own if p not in parts})
+        parts = self.parts
+        wanted = set().union(*cut) - parts.keys()
+        again = wanted & self.older.keys()
+        fresh = list(wanted - again)
         found = [self.encoded(BLANK + p) for p in fresh]
         if self.checked:
             self._compare(fresh, found)
         parts.update(zip(fresh, found))
-        self.held += sum(map(len, fresh)) + sum(map(len, found)) + _ENTRY * len(fresh)
+        parts.update((p, self.older[p]) for p in again)
+        self.held += sum(len(p) + len(parts[p]) + _ENTRY for p in wanted)
         first = _code(self.library.bos_id()) if begin else b""
         last = _code(self.library.eos_id()) if end else b""
         result = [first + b"".join([parts[p] for p in own]) + last for own in cut]
-        if self.held > _REMEMBERED:
-            self._forget()
+        if self.held > _REMEMBERED // 2:
+            self.older, self.parts, self.held = (parts, {}, 0) if self.held <= _REMEMBERED else ({}, {}, 0)
         return result
 
-    def _forget(self) -> None:
-        """Keep the newer half of the parts, and none where that is still too much."""
-        newer = list(self.parts.items())[len(self.parts) // 2 + 1 :]
-        held = sum(len(p) + len(ids) + _ENTRY for p, ids in newer)
-        self.parts, self.held = (dict(newer), held) if held <= _REMEMBERED else ({}, 0)
-
     def _compare(self, parts: list[str], found: list[bytes]) -> None:
         """Raise if the library encodes a part otherwise. A part that is empty stands for a lone blank."""
         other = self.library.encode([p.replace(BLANK, " ") or BLANK for p in parts], num_threads=1)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, words
+from tidemark.llm.common import let, sampled_rows, words
 from tidemark.shared import keep
 
 SYMBOLS = "#*$%&|<>"
@@ -113,23 +113,27 @@ def fit(
     trusted: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    buckets: int = 1 << 20,
+    buckets: int = 1 << 18,
     steady: int = 40,
     pass_share: float = 0.9999,
     folds: int = 4,
+    trusted_rows: int = 1_000_000,
 ) -> QualityModel:
     """Multinomials of all texts of ``docs`` and of the trusted ones among them, over hashed n-grams.
 
-    ``trusted`` holds ids of texts known to be good; all of them are counted, as is every row of ``docs``, in
-    one pass. The model has ``buckets`` numbers whatever the corpus; the driver receives so many counts for
-    the corpus and for each fold of the trusted texts. The threshold is the mean ratio that ``pass_share`` of
-    the trusted texts reach when the ratios are learned without their fold, by exact rank; texts that fail
-    the base rules do not set it. Without trusted texts every ratio is 0 and all pass.
+    ``trusted`` holds ids of texts known to be good. About ``trusted_rows`` of them, chosen by hash, are
+    broadcast to the texts, eight bytes each, so that no text is moved to find its label; fewer are all
+    taken. Every row of ``docs`` is counted, in one pass for both sides. The model has ``buckets`` numbers
+    whatever the corpus; the driver receives so many counts for the corpus and for each fold of the trusted
+    texts. The threshold is the mean ratio that ``pass_share`` of the trusted texts reach when the ratios
+    are learned without their fold, by exact rank; texts that fail the base rules do not set it. Without
+    trusted texts every ratio is 0 and all pass.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ids = trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    ids = sampled_rows(ids, F.lit(1), F.col("doc_id"), trusted_rows).select("doc_id", F.lit(True).alias("known")).limit(2 * trusted_rows)
     side = F.when(F.col("known"), F.pmod(F.xxhash64("doc_id"), F.lit(folds)) + 1).otherwise(0).cast("int")
-    marked = docs.join(keep(ids.withColumn("known", F.lit(True)), "trusted"), "doc_id", "left").withColumn("side", side)
+    marked = docs.join(F.broadcast(keep(ids, "trusted")), "doc_id", "left").withColumn("side", side)
     counts = _counted(marked, buckets, folds + 1)
     good, every = counts[1:], counts.sum(axis=0)
     if not good.any():

@@ -240,7 +240,8 @@ def fit(
 
     The chosen ids, so many at most, are broadcast to the texts; no text is shuffled to find its label.
     Texts carry the label, words do not: a word counts as an insult if it, or its beginning, occurs in
-    more texts of label 1 than chance allows among all words seen. The counting is distributed; at most
+    more texts of label 1 than chance would bring about once among the square of the number of words that
+    are seen twice. No word that passes is dropped for being rarer than others. The counting is distributed; at most
     ``positive_units`` insults and ``ordinary_units`` words of label-0 texts reach the driver. Near
     copies count once. Null texts and labels teach nothing. Without texts of both labels, or without
     insults, every text scores the share of label 1 (0 if there are no labels).
@@ -273,7 +274,7 @@ def fit(
     expected_a, expected_b = (a + b) * (bad / (bad + good)), (a + b) * (good / (bad + good))
     surprise = 2 * (F.when(a > 0, a * F.log(a / expected_a)).otherwise(0.0) + F.when(b > 0, b * F.log(b / expected_b)).otherwise(0.0))
     repeated = max(units.where(F.col("bad") + F.col("good") > 1).count(), 2)
-    found = stems.where((F.length("stem") >= 4) & telling & (surprise > 2 * float(np.log(repeated))))
+    found = stems.where((F.length("stem") >= 4) & telling & (surprise > 4 * float(np.log(repeated))))
     ranked = found.select("stem", "bad", "good", surprise.alias("surprise")).orderBy(F.desc("surprise"), "stem").limit(positive_units).collect()
     starts = {r["stem"] for r in ranked}
     if not starts:

@@ -34,7 +34,7 @@ def _cut(text: str) -> list[str]:
 
 
 #: Bytes of remembered parts, about, in two halves: when the newer is full, the older is forgotten.
-_REMEMBERED = 96 << 20
+_REMEMBERED = 128 << 20
 #: What an entry takes besides its characters and ids.
 _ENTRY = 200
 

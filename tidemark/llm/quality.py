@@ -140,7 +140,9 @@ def fit(
         return QualityModel(np.zeros(buckets, np.int32) / _UNIT, -math.inf, steady)
     whole = good.sum(axis=0)
     unseen = np.concatenate([_ratios(whole - own, every) for own in good])
-    rows = marked.where("side > 0").select((F.col("side") - 1).alias("fold"), "text", base_counts(F.col("text")).alias("n")).select("fold", "text", "n.*").where(~_failed())
+    # The counts are taken once, inside the condition: as columns they would be counted for every use of them.
+    passes = let(base_counts(F.col("text")), lambda n: ~_failed(n["n_words"], n["n_repeat_words"]))
+    rows = marked.where("side > 0").where(passes).select((F.col("side") - 1).alias("fold"), "text", F.size(words(F.col("text"))).alias("n_words"))
     found = _scored(rows, ["fold", "n_words"], unseen, buckets, steady)
     steps = found.select(F.floor(F.col("likeness") * _STEP).alias("step"))
     least = steps.agg(F.expr(f"percentile_disc({1 - pass_share!r}) WITHIN GROUP (ORDER BY step)")).first()[0]
@@ -181,9 +183,9 @@ def judge(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: st
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     table = np.rint(np.asarray(model.ratios) * _UNIT).astype(np.int32)
     found = _scored(counted.select("doc_id", "n.*", "text"), ["doc_id", *names], table, len(table), model.steady)
-    failed = found.withColumn("base_failed", _failed())
+    failed = found.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words")))
     return failed.withColumn("kept", ~F.col("base_failed") & (F.col("likeness") >= model.threshold))
 
 
-def _failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def _failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)

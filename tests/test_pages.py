@@ -74,6 +74,66 @@ def test_listing(frame):
     assert (second["position"], second["age"], second["team"], second["market_value_eur"]) == (None, None, "Millbrook", 800000)
 
 
+WILD = """<TABLE><tr><td>
+<table class='wide items' data-n=3><thead><tr><th>x</th></tr></thead><tbody>
+<tr class='odd'><td class=zentriert>7</td><td class='posrela'><table class="inline-table"><tr><td rowspan="2"><img src='a'></td>
+<td class='hauptlink'><a title="T" href='/ada-quill/profil/spieler/31'>Ada Quill</a></td></tr><tr><td>Goalkeeper</td></tr></table></td>
+<td><IMG class="flaggenrahmen" title='Malta'></td><td><a class='vereinprofil_tooltip' title='Harbour Town'>H</a></td><td class = 'rechts hauptlink'>€1.20m</td>
+<TR CLASS="even"><td class="hauptlink"><A HREF="/bo-lane/profil/spieler/32">Bo Lane</A></td><td class="zentriert">30</td></TR>
+</tbody></table></td></tr></TABLE><table class="items"><tbody><tr class="odd"><td class="hauptlink"><a href="/z/profil/spieler/9">Z</a></td></tr></tbody></table>"""
+
+
+def test_listing_of_nested_tables(frame):
+    rows = pages.listing_records(frame([(1, WILD), (2, None), (3, "")], "page_no int, html string")).orderBy("row_no").collect()
+    assert [(r["player_id"], r["player_slug"], r["name"]) for r in rows] == [("31", "ada-quill", "Ada Quill"), ("32", "bo-lane", "Bo Lane")]
+    first, second = rows
+    assert (first["position"], first["age"], first["nationality"], first["team"], first["market_value_eur"]) == ("Goalkeeper", 7, "Malta", "Harbour Town", 1200000)
+    assert (second["age"], second["team"], second["market_value_eur"]) == (30, None, None)
+
+
+def stats_page(attributes, body):
+    return f"<table {attributes}>{body}</table>"
+
+
+def test_own_body_only(frame):
+    """A table without a body has no rows; it does not take those of the next table or of a nested one."""
+    full = "<tbody>" + player("abc1", "Next Table", {"shots": "5"}) + "</tbody>"
+    cases = [
+        (1, stats_page('id="stats_shooting"', player("abc0", "No Body", {"shots": "4"})) + stats_page('id="other"', full)),
+        (2, stats_page('id="stats_shooting"', f"<tr><td>{stats_page('id=x', full)}</td></tr>")),
+        (3, stats_page('id="stats_shooting_old"', full) + stats_page("id='stats_shooting'", full.replace("abc1", "abc2"))),
+        (4, stats_page("ID=9 id = stats_shooting_7", full.upper().replace("ABC1", "abc3").replace("/EN/PLAYERS/", "/en/players/").replace('"PLAYER"', '"player"').replace('"SHOTS"', '"shots"'))),
+        (5, stats_page('id="stats_shooting"', "<tbody>" + player("abc5", "Open End", {"shots": "6"}))),
+        (6, "<!-- " + stats_page('id="stats_shooting"', full) + " -->"),
+    ]
+    found = pages.stat_table(frame(cases, "page_id int, html string"), "stats_shooting").collect()
+    assert sorted((r["page_id"], r["player_id"], r["shots"]) for r in found) == [(3, "abc2", 5), (4, "abc3", 5), (5, "abc5", 6)]
+
+
+def test_cells_with_nested_tables(frame):
+    inner = "<table><tbody><tr><td data-stat='shots'>99</td></tr></tbody></table>"
+    link = "<th data-stat='player'><a href='/en/players/f00d/x'>Inner Table</a></th>"
+    row = f"<tr>{link}<td data-stat='note'>{inner}</td><td data-stat='shots'>3<td data-stat='shots_on_target'>2</tr>"
+    page = stats_page("id='stats_shooting'", f"<tbody>{row}{row.replace('f00d', 'feed')}</tbody>")
+    found = pages.stat_table(frame([(1, page)], "page_id int, html string"), "stats_shooting").collect()
+    assert [(r["player_id"], r["shots"], r["shots_on_target"]) for r in found] == [("f00d", 3, 2), ("feed", 3, 2)]
+
+
+def test_depth_of_many_tables(frame):
+    """Depths against plain counting, over more tags than one block holds."""
+    import random
+
+    draw = random.Random(4)
+    tags = [draw.choice(["<table>", "</table>", "<TABLE id='a'>", "<p>"]) for _ in range(500)]
+    found = frame([("".join(tags),)], "html string").select(pages.table_segments(F.col("html")).alias("s")).first()["s"]
+    expected, depth = [], 0
+    for tag in tags:
+        if "table" in tag.lower():
+            depth += -1 if tag.startswith("</") else 1
+            expected.append(depth)
+    assert [s["depth"] for s in found if s["part"].lower().lstrip("</").startswith("table")] == expected
+
+
 def test_first_page_wins(frame):
     df = frame([(2, "7", "late"), (1, "7", "early")], "page_no int, player_id string, name string")
     assert pages.first_listed(df, ["player_id"], [F.col("page_no").asc()]).first()["name"] == "early"

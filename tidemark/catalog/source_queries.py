@@ -399,7 +399,10 @@ def _cell(name: str, value: Column) -> Column:
 
 
 def stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per customer and year: a stat table, a repeated header, and a table inside a comment."""
+    """One page per customer and year: a stat table, a repeated header, and a table inside a comment.
+
+    The first table has no body of its own, a cell holds a table, quotes and letter case vary, and end tags are left out.
+    """
     hex_id = F.lower(F.hex(F.col("entity") + 1048576))
     link = F.concat(F.lit('<th data-stat="player"><a href="/en/players/'), hex_id, F.lit('/x">'), F.col("name"), F.lit("</a></th>"))
     grouped = F.regexp_replace(F.col("value").cast("long").cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
@@ -407,7 +410,8 @@ def stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         link, _cell("nationality", F.concat(F.lit("<a>"), F.col("nation").cast("string"), F.lit("</a>"))),
         _cell("position", F.col("segment")), _cell("team", F.lit("A &amp; B")), _cell("age", F.col("orders")),
         _cell("games", F.col("orders")), _cell("minutes", grouped), _cell("goals", F.col("urgent")),
-        _cell("assists", F.lit("31.7")), _cell("xg", F.col("quantity")), _cell("progressive_carries", F.lit(7)),
+        _cell("assists", F.lit("31.7")), F.lit("<td data-stat='note'><table><tbody><tr><td data-stat=xg>9</td></tr></tbody></table></td>"),
+        _cell("xg", F.col("quantity")), _cell("progressive_carries", F.lit(7)),
     ]
     shooting = [link, _cell("shots", F.col("finished")), _cell("shots_per90", F.col("returned"))]
     possession = [link, _cell("touches", F.col("orders")), _cell("progressive_carries", F.col("urgent"))]
@@ -416,12 +420,12 @@ def stat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit(f'<table id="{name}"><tbody><tr class="thead"><th>h</th></tr><tr>'), *row, F.lit("</tr></tbody></table>"))
 
     html = F.concat(
-        F.lit("<html><body>"),
+        F.lit("<html><body><table id='summary'><thead><tr><th>no body</th></tr></thead></table>"),
         table("stats_standard", standard),
         F.lit('<!-- <div class="table_container" id="d">\n'),
         table("stats_shooting", shooting),
         F.lit("</div> -->"),
-        table("stats_possession", possession),
+        F.replace(F.replace(table("stats_possession", possession), F.lit("</td>"), F.lit("")), F.lit("<tr>"), F.lit("<TR class=wide>")),
         F.lit("</body></html>"),
     )
     stand_ins = entity_periods(spark, sf_dir).select((F.col("entity") * 10000 + F.col("period")).alias("page_id"), html.alias("html"))
@@ -444,23 +448,25 @@ def extract_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per part: the listing lies in a layout table, and each name and position in a table of its cell."""
     price = F.format_string("€%.2fk", "p_retailprice")
     html = F.concat(
-        F.lit('<table class="items"><tbody><tr class="head"><td>x</td></tr><tr class="odd"><td class="hauptlink"><a href="/'),
+        F.lit("<TABLE><tr><td><table class='wide items'><tbody><tr class=\"head\"><td>x</td></tr><tr class=odd>"),
+        F.lit("<td class='posrela'><table class='inline-table'><tr><td class='hauptlink'><a title='t' href=\"/"),
         F.replace("p_name", F.lit(" "), F.lit("-")),
         F.lit("/profil/spieler/"),
         F.col("p_partkey").cast("string"),
         F.lit('">\n'),
         F.col("p_name"),
-        F.lit('</a></td><td>Left Winger</td><td class="zentriert">'),
+        F.lit('</a></td></tr><tr><td>Left Winger</td></tr></table></td><td class="zentriert">'),
         F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise("?"),
-        F.lit('</td><td><a class="vereinprofil_tooltip" title="'),
+        F.lit("</td><td><a class=vereinprofil_tooltip title=\""),
         F.col("p_brand"),
         F.lit('">b</a></td><td><img class="flaggenrahmen" title="'),
         F.col("p_type"),
         F.lit('"></td><td class="rechts hauptlink">'),
         price,
-        F.lit("</td></tr></tbody></table>"),
+        F.lit("</td></tr></tbody></table></td></tr></TABLE>"),
     )
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 

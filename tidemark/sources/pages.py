@@ -51,7 +51,7 @@ STAT_TABLES = {
 
 def uncomment_tables(html: Column) -> Column:
     """Make tables visible that the page hides in comments."""
-    return F.regexp_replace(html, r"(?s)<!--\s*(<div\b[^>]*\btable_container\b.*?)-->", "$1")
+    return F.regexp_replace(html, r"(?is)<!--\s*(<div\b[^>]*\btable_container\b.*?)-->", "$1")
 
 
 def text_of(html: Column) -> Column:
@@ -66,21 +66,101 @@ def number_in(html: Column) -> Column:
     return F.when(html.contains("<") | html.contains(","), F.regexp_replace(html, "<[^>]*>|,", "")).otherwise(html)
 
 
-def table_body(html: Column, attribute: str, value: str) -> Column:
-    """Body of the first table whose attribute contains the value."""
-    pattern = rf'(?s)<table\b[^>]*\b{attribute}="[^"]*{value}[^"]*"[^>]*>.*?<tbody[^>]*>(.*?)</tbody>'
-    return extract(html, pattern)
+# One attribute of a tag, from the tag's name or the attribute before it; names without a value may precede it.
+_ATTRIBUTE = (
+    r"""(<[A-Za-z][A-Za-z0-9]*|\G(?!\A))((?:\s+[^\s=>"'/]+)*?\s+[^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^'"]*)'|([^\s"'>]+))"""
+)
+_BLOCK = 64
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(changes: Column) -> Column:
+    """Running total of an array of numbers, in blocks, so that many numbers stay cheap."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+    def within(offsets: Column) -> Column:
+        def at(i: Column) -> Column:
+            block = F.floor(i / _BLOCK).cast("int")
+            return F.get(offsets, block) + total(F.slice(changes, block * _BLOCK + 1, i - block * _BLOCK + 1))
+
+        return F.transform(changes, lambda _, i: at(i))
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(changes) - 1) / _BLOCK).cast("int")),
+        lambda b: total(F.slice(changes, b * _BLOCK + 1, _BLOCK)),
+    )
+    return _let(_let(blocks, lambda found: F.transform(found, lambda _, b: total(F.slice(found, F.lit(1), b)))), within)
+
+
+def table_segments(html: Column) -> Column:
+    """The page cut at its table tags: structs of ``part`` and ``depth``, the tables open inside the part.
+
+    Attributes are written with double quotes first, whatever their quotes were, and comments are left out.
+    A value in single quotes that holds a double quote stays as it is. NULL for a null page.
+    """
+    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    quoted = F.regexp_replace(plain, _ATTRIBUTE, '$1$2="$3$4$5"')
+    change = lambda part: F.when(part.rlike(r"^(?i)<table\b"), 1).when(part.rlike(r"^(?i)</table\b"), -1).otherwise(0)
+
+    def measured(parts: Column) -> Column:
+        depths = _let(F.transform(parts, change), _running)
+        return F.arrays_zip(parts.alias("part"), depths.alias("depth"))
+
+    return _let(F.split(quoted, r"(?i)(?=</?table\b)"), measured)
+
+
+def table_body(segments: Column, attribute: str, value: str, cells: bool = True) -> Column:
+    """Body of the first table whose attribute is the value, or else contains it; NULL without such a table or body.
+
+    A class is a word of its attribute.
+    Only the table's own body counts, never that of another one. Rows of tables nested in its cells are
+    renamed, and with ``cells`` their cells too, so that every row and cell that is left is the table's own.
+    """
+    nested = "table|thead|tbody|tfoot|tr|th|td" if cells else "table|thead|tbody|tfoot|tr"
+
+    def place(pattern: str) -> Column:
+        opened = rf'^(?s)(?i:<table)\b[^>]*\b(?i:{attribute})="{pattern}"'
+        return F.array_position(F.transform(segments, lambda s: s["part"].rlike(opened)), True)
+
+    def own(start: Column) -> Column:
+        depth = F.get(segments, start - 1)["depth"]
+        later = F.slice(segments, start, F.greatest(F.size(segments) - start + 1, F.lit(0)))
+        closed = F.array_position(F.transform(later, lambda s: s["depth"] < depth), True).cast("int")
+        inside = F.when(closed > 0, F.slice(later, F.lit(1), F.greatest(closed - 1, F.lit(0)))).otherwise(later)
+        parts = F.transform(
+            inside,
+            lambda s: F.when(s["depth"] > depth, F.regexp_replace(s["part"], rf"(?i)<(/?)({nested})\b", "<$1x-$2")).otherwise(
+                F.regexp_replace(s["part"], r"(?i)^</table\b", "</x-table")
+            ),
+        )
+        body = r"(?is)<tbody\b[^>]*>(.*?)(?:</tbody\s*>|\z)"
+        return F.when(start > 0, extract(F.array_join(parts, ""), body))
+
+    if attribute == "class":
+        found = place(rf"(?:[^\"]*\s)?{value}(?:\s[^\"]*)?")
+    else:
+        exact = place(value)
+        found = F.when(exact > 0, exact).otherwise(place(rf"[^\"]*{value}[^\"]*"))
+    return _let(found.cast("int"), own)
 
 
 def table_rows(pages: DataFrame, body: Column) -> DataFrame:
-    """One row per table row: page columns, ``row_no``, ``row_html``; repeated header rows are skipped."""
-    rows = F.regexp_extract_all(body, F.lit(r"(?s)(<tr\b.*?</tr>)"), F.lit(1))
+    """One row per table row: page columns, ``row_no``, ``row_html``; repeated header rows are skipped.
+
+    A row ends at its end tag, at the next row or at the end of the body.
+    """
+    rows = F.regexp_extract_all(body, F.lit(r"(?is)(<tr\b.*?)(?=<tr\b|</tr\b|\z)"), F.lit(1))
     exploded = pages.select(*[c for c in pages.columns if c != "html"], F.posexplode(rows).alias("row_no", "row_html"))
-    return exploded.where(~F.col("row_html").rlike(r'^<tr\b[^>]*class="[^"]*\bthead\b'))
+    return exploded.where(~F.col("row_html").rlike(r'^(?i:<tr)\b[^>]*(?i:class)="[^"]*\bthead\b'))
 
 
 def link_text(html: Column) -> Column:
-    return text_of(extract(html, r"(?s)(<a\b.*?</a>)"))
+    return text_of(extract(html, r"(?is)(<a\b.*?</a>)"))
 
 
 def player_rows(pages: DataFrame, tables: list[str]) -> DataFrame:
@@ -91,22 +171,22 @@ def player_rows(pages: DataFrame, tables: list[str]) -> DataFrame:
     skipped, and rows of the standard table with fewer than ten cells.
     """
     kept = [c for c in pages.columns if c != "html"]
-    visible = pages.withColumn("html", uncomment_tables(F.col("html")))
+    visible = pages.select(*kept, table_segments(uncomment_tables(F.col("html"))).alias("_segments"))
     bodies = F.array(
-        *[F.struct(F.lit(t).alias("table"), table_body(F.col("html"), "id", t).alias("_body")) for t in tables]
+        *[F.struct(F.lit(t).alias("table"), table_body(F.col("_segments"), "id", t).alias("_body")) for t in tables]
     )
     found = visible.select(*kept, F.inline(bodies)).where(F.col("_body").isNotNull())
     rows = table_rows(found, F.col("_body")).drop("_body")
-    pattern = F.lit(r'(?s)<t[hd]\b[^>]*\bdata-stat="([^"]*)"[^>]*>(.*?)</t[hd]>')
+    pattern = F.lit(r'(?is)<t[hd]\b[^>]*\bdata-stat="([^"]*)"[^>]*>(.*?)(?=</?t[hdr]\b|\z)')
     cells = rows.withColumns(
         {
             "names": F.regexp_extract_all("row_html", pattern, F.lit(1)),
             "cells": F.regexp_extract_all("row_html", pattern, F.lit(2)),
-            "_count": F.size(F.regexp_extract_all("row_html", F.lit(r"(<t[hd]\b)"), F.lit(1))),
+            "_count": F.size(F.regexp_extract_all("row_html", F.lit(r"(?i)(<t[hd]\b)"), F.lit(1))),
         }
     )
     player = F.get("cells", (F.array_position("names", "player") - 1).cast("int"))
-    linked = cells.withColumn("player_id", extract(player, rf'href="[^"]*{PLAYER_ID}'))
+    linked = cells.withColumn("player_id", extract(player, rf'(?i:href)="[^"]*{PLAYER_ID}'))
     numbers = F.transform("cells", number_in)
     return linked.where(
         F.col("player_id").isNotNull() & ((F.col("table") != "stats_standard") | (F.col("_count") >= 10))
@@ -171,27 +251,30 @@ def counts_records(pages: DataFrame, page_columns: list[str]) -> DataFrame:
 
 def listing_records(pages: DataFrame) -> DataFrame:
     """Rows of a paged listing: id, slug, name, position, age, nationality, team, market value."""
-    body = table_body(F.col("html"), "class", "items")
-    rows = table_rows(pages, body).where(F.col("row_html").rlike(r'^<tr\b[^>]*class="[^"]*\b(odd|even)\b'))
+    kept = [c for c in pages.columns if c != "html"]
+    cut = pages.select(*kept, table_segments(F.col("html")).alias("_segments"))
+    body = table_body(F.col("_segments"), "class", "items", cells=False)
+    rows = table_rows(cut, body).drop("_segments").where(F.col("row_html").rlike(r'^(?i:<tr)\b[^>]*(?i:class)="[^"]*\b(odd|even)\b'))
     row = F.col("row_html")
-    link = extract(row, r'(?s)<td\b[^>]*class="[^"]*\bhauptlink\b[^"]*"[^>]*>.*?(<a\b.*?</a>)')
-    href = extract(link, r'href="([^"]*)"')
-    texts = F.transform(F.regexp_extract_all(row, F.lit(r"(?s)<td\b[^>]*>(.*?)</td>"), F.lit(1)), text_of)
+    cell = r'(?s)(?i:<td)\b[^>]*(?i:class)="{}"[^>]*>'
+    link = extract(row, cell.format(r'[^"]*\bhauptlink\b[^"]*') + r"(?i:.*?(<a\b.*?</a>))")
+    href = extract(link, r'(?i)href="([^"]*)"')
+    texts = F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<td\b[^>]*>(.*?)(?=</?t[dr]\b|\z)"), F.lit(1)), text_of)
     position = F.get(F.filter(texts, lambda t: t.isin(config.LISTED_POSITIONS)), F.lit(0))
-    age = text_of(extract(row, r'(?s)<td\b[^>]*class="[^"]*\bzentriert\b[^"]*"[^>]*>(.*?)</td>'))
-    team = extract(row, r'(?s)(<a\b[^>]*class="[^"]*\bvereinprofil_tooltip\b[^"]*".*?</a>)')
+    age = text_of(extract(row, cell.format(r'[^"]*\bzentriert\b[^"]*') + r"(.*?)(?i:(?=</?t[dr]\b|\z))"))
+    team = extract(row, r'(?s)((?i:<a)\b[^>]*(?i:class)="[^"]*\bvereinprofil_tooltip\b[^"]*".*?(?i:</a>))')
     return rows.select(
-        *[c for c in pages.columns if c != "html"],
+        *kept,
         "row_no",
         extract(href, LISTED_ID).alias("player_id"),
         extract(href, LISTED_SLUG).alias("player_slug"),
         text_of(link).alias("name"),
         position.alias("position"),
         F.when(age.rlike(r"^\d+$"), age.cast("int")).alias("age"),
-        extract(row, r'<img\b[^>]*class="[^"]*\bflaggenrahmen\b[^"]*"[^>]*title="([^"]*)"').alias("nationality"),
-        F.coalesce(extract(team, r'^<a\b[^>]*title="([^"]*)"'), text_of(team)).alias("team"),
+        extract(row, r'(?i:<img)\b[^>]*(?i:class)="[^"]*\bflaggenrahmen\b[^"]*"[^>]*(?i:title)="([^"]*)"').alias("nationality"),
+        F.coalesce(extract(team, r'^(?i:<a)\b[^>]*(?i:title)="([^"]*)"'), text_of(team)).alias("team"),
         parse_money(
-            text_of(extract(row, r'(?s)<td\b[^>]*class="rechts hauptlink"[^>]*>(.*?)</td>'))
+            text_of(extract(row, cell.format("rechts hauptlink") + r"(.*?)(?i:(?=</?t[dr]\b|\z))"))
         ).alias("market_value_eur"),
     ).where(F.col("player_id").isNotNull())
 
@@ -205,7 +288,7 @@ def first_listed(records: DataFrame, keys: list[str], order: list[Column]) -> Da
 
 def profile_records(pages: DataFrame) -> DataFrame:
     """Fields of a profile page, chosen by the label that precedes each value."""
-    block = F.lit(r'(?s)info-table__content--label[^>]*>(.*?)</span>\s*<span\b[^>]*info-table__content[^>]*>(.*?)</span>')
+    block = F.lit(r'(?is)info-table__content--label[^>]*>(.*?)</span>\s*<span\b[^>]*info-table__content[^>]*>(.*?)</span>')
     labels = F.transform(F.regexp_extract_all("html", block, F.lit(1)), lambda t: F.lower(text_of(t)))
     values = F.transform(F.regexp_extract_all("html", block, F.lit(2)), text_of)
     fields = pages.withColumns({"_pairs": F.arrays_zip(labels.alias("label"), values.alias("value"))})
@@ -214,7 +297,7 @@ def profile_records(pages: DataFrame) -> DataFrame:
         found = F.filter("_pairs", lambda pair: pair["label"].contains(label))
         return F.get(found, F.lit(0))["value"]
 
-    worth = extract(F.col("html"), r'(?s)<div\b[^>]*tm-player-market-value-development__current-value[^>]*>(.*?)</div>')
+    worth = extract(F.col("html"), r'(?is)<div\b[^>]*tm-player-market-value-development__current-value[^>]*>(.*?)</div>')
     return fields.select(
         *[c for c in pages.columns if c != "html"],
         parse_date(field("date of birth")).alias("date_of_birth"),

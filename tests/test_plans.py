@@ -1,5 +1,6 @@
 """The whole chain on a small made-up league system."""
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.process import process
 from tidemark.plans.report import validation_report
 from tidemark.plans.score import load_trained, prepare, score
-from tidemark.plans.train import train
+from tidemark.plans.train import saved_shapes, train
 from tidemark.sources import tables
 
 META = ["player_id", "name", "league", "season"]
@@ -98,6 +99,10 @@ def test_train_score_report(processed, sources, tmp_path):
     assert stored.count() == tests and stored.where("prob_calibrated IS NULL").count() == 0
     assert spark.read.parquet(f"{out}/fold_3/contributions_a").select(*META).distinct().count() == predictions.where("fold = 3").count()
 
+    tried = spark.read.parquet(f"{out}/trials").orderBy("model").collect()
+    assert [(r["model"], r["trial"], r["chosen"]) for r in tried] == [("a", 0, True), ("b", 0, True)]
+    assert saved_shapes(spark, out) == trained["shapes"] == {r["model"]: json.loads(r["parameters"]) for r in tried}
+
     fresh = result["labeled"].where("season = '2020-2021'").drop("tackles", "label")
     scored, parts = score(fresh, **load_trained(spark, out, 3), meta=META, out=str(tmp_path / "scored"))
     order = [r["prob_calibrated"] for r in scored.collect()]
@@ -112,3 +117,11 @@ def test_train_score_report(processed, sources, tmp_path):
     assert tables_of["per_fold"].agg(F.sum("n")).first()[0] == tests
     assert tables_of["false_positives"].where("near_miss NOT IN (0, 1)").count() == 0
     assert tables_of["missed"].where("reason IS NULL").count() == 0
+
+
+def test_train_with_given_shapes(processed):
+    result, _ = processed
+    shape = {"maxDepth": 2, "stepSize": 0.1}
+    trained = train(result["folds"], META, numbers=[3], trials=4, rounds=2, shapes={"a": shape, "b": {**shape, "maxDepth": 1}})
+    assert trained["trials"].count() == 0 and trained["shapes"]["a"] == shape
+    assert trained["model_a"].trees[0].depth <= 2 and trained["model_b"].trees[0].depth <= 1

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.models import search
@@ -21,8 +23,9 @@ from tidemark.models.learners import (
 from tidemark.operators.evaluate import blend, fold_summary, metric_table
 from tidemark.shared import keep
 from tidemark.sources import config
-from tidemark.sources.tables import write_csv, write_json, write_report, write_table
+from tidemark.sources.tables import read_report, write_csv, write_json, write_report, write_table
 
+TRIALS_SCHEMA = "model string, trial int, parameters string, auc double, chosen boolean"
 SCORES = {"a": "prob_a", "b": "prob_b", "ensemble": "prob_ensemble", "calibrated": "prob_calibrated"}
 
 
@@ -57,6 +60,17 @@ def evaluate_fold(
     return predictions, metric_table(long, ["model"], "_tie", ks), calibrator
 
 
+def _trial_rows(model: str, best: dict, trials: list[tuple[dict, float]]) -> list[tuple]:
+    """Rows of one search; of equal points the first is the chosen one."""
+    chosen = next(i for i, (point, _) in enumerate(trials) if point is best)
+    return [(model, i, json.dumps(point, sort_keys=True), auc, i == chosen) for i, (point, auc) in enumerate(trials)]
+
+
+def saved_shapes(spark: SparkSession, out: str) -> dict[str, dict]:
+    """Shapes of the two learners as ``train`` saved them."""
+    return read_report(spark, f"{out}/shapes")
+
+
 def train(
     folds: DataFrame,
     meta: list[str],
@@ -67,18 +81,29 @@ def train(
     trials: int = config.SEARCH_TRIALS,
     rounds: int = ROUNDS,
     method: str = "platt",
+    search_rounds: int = search.SEARCH_ROUNDS,
+    shapes: dict[str, dict] | None = None,
 ) -> dict[str, object]:
-    """Tune on the first fold, then fit, evaluate and explain every fold."""
+    """Tune on the first fold unless ``shapes`` are given, then fit, evaluate and explain every fold.
+
+    A trial of the search takes at most ``search_rounds`` rounds, and no more than a training. The shapes used come
+    back as ``shapes`` and the trials behind them as ``trials`` (model, trial, parameters, auc, chosen); with
+    ``out`` both are saved, and ``saved_shapes`` reads the shapes for a later training.
+    """
     numbers = numbers or [n for n, *_ in config.FOLDS]
-    shape_a, shape_b, baseline, last = SHAPE_A, SHAPE_B, None, {}
+    shape_a, shape_b = (shapes["a"], shapes["b"]) if shapes else (SHAPE_A, SHAPE_B)
+    baseline, last = None, {}
+    tried: list[tuple] = []
     predictions, metrics, importance = [], [], []
     for n in numbers:
         inputs, splits = load_fold(folds, n, features)
         if n == numbers[0]:
             baseline = train_baseline(splits["train"])
-            if trials:
-                shape_a, _ = search.random_search(splits["train"], splits["val"], search.SPACE_A, trials, rounds)
-                shape_b, _ = search.random_search(splits["train"], splits["val"], search.SPACE_B, trials, rounds)
+            if trials and shapes is None:
+                at_most = min(rounds, search_rounds)
+                shape_a, trials_a = search.random_search(splits["train"], splits["val"], search.SPACE_A, trials, at_most)
+                shape_b, trials_b = search.random_search(splits["train"], splits["val"], search.SPACE_B, trials, at_most)
+                tried = [*_trial_rows("a", shape_a, trials_a), *_trial_rows("b", shape_b, trials_b)]
         model_a = train_boosted(splits["train"], splits["val"], shape_a, rounds)
         model_b = train_boosted(splits["train"], splits["val"], shape_b, rounds)
         scored, measured, calibrator = evaluate_fold(model_a, model_b, splits, meta, tie, method)
@@ -108,6 +133,8 @@ def train(
         "summary": fold_summary(stacked(metrics), ["model"]),
         "importance": every,
         "baseline": baseline,
+        "shapes": {"a": shape_a, "b": shape_b},
+        "trials": folds.sparkSession.createDataFrame(tried, TRIALS_SCHEMA),
         **last,
     }
     if out:
@@ -115,6 +142,8 @@ def train(
             baseline.write().overwrite().save(f"{out}/baseline")
         write_csv(results["predictions"], f"{out}/predictions")
         write_csv(every.orderBy(F.col("importance").desc(), "feature"), f"{out}/importance")
+        write_report(folds.sparkSession, results["shapes"], f"{out}/shapes")
+        write_table(results["trials"], f"{out}/trials")
         write_json(results["metrics"], f"{out}/metrics")
         write_json(results["summary"], f"{out}/summary")
     return results

@@ -24,12 +24,12 @@ def fold(spark):
 
 @pytest.fixture(scope="module")
 def model(fold):
-    shape = {"maxDepth": 3, "stepSize": 0.2}
+    shape = {"max_leaves": 0, "max_depth": 3, "rate": 0.2}
     return learners.train_boosted(fold[1]["train"], fold[1]["val"], shape, 6)
 
 
 def margin(model, df):
-    return model.transform(df).select("player_id", F.expr("rawPrediction").alias("raw")).toPandas().set_index("player_id").raw.map(lambda v: v[1])
+    return model.transform(df).select("player_id", "margin").toPandas().set_index("player_id").margin
 
 
 def test_inputs(fold):
@@ -145,8 +145,8 @@ def test_search_is_repeatable(fold):
     import random
 
     points = [search.draw(search.SPACE_A, random.Random(1)) for _ in range(2)]
-    assert points[0] == points[1] and 0.01 <= points[0]["stepSize"] <= 0.2 and 4 <= points[0]["maxDepth"] <= 7
-    best, trials = search.random_search(fold[1]["train"], fold[1]["val"], {"maxDepth": (1, 3, "int")}, 2, 3)
+    assert points[0] == points[1] and 0.01 <= points[0]["rate"] <= 0.2 and 15 <= points[0]["max_leaves"] <= 127
+    best, trials = search.random_search(fold[1]["train"], fold[1]["val"], {"max_depth": (1, 3, "int")}, 2, 3)
     assert best in [t[0] for t in trials] and all(0.5 < auc <= 1 for _, auc in trials)
 
 
@@ -190,9 +190,3 @@ def test_scoring_without_proxy_fits_nothing(frame, tmp_path):
     applied, figures = proxy.proxy_pipeline(df, path, rounds=0, train=False)
     assert figures is None and not (tmp_path / "proxy").exists()
     assert applied.where("proxy_xg_per90 IS NOT NULL").count() == 0 and applied.count() == 60
-
-
-def test_best_round_waits_for_patience():
-    assert learners.best_round([5, 4, 4.5, 4.2, 3, 3.1, 3.2], 3) == (5, False)
-    assert learners.best_round([5, 4, 4.5, 4.2, 4.1, 1], 3) == (2, True)
-    assert learners.best_round([1], 3) == (1, False)

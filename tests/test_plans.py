@@ -121,7 +121,7 @@ def test_train_score_report(processed, sources, tmp_path):
 
 def test_train_with_given_shapes(processed):
     result, _ = processed
-    shape = {"maxDepth": 2, "stepSize": 0.1}
-    trained = train(result["folds"], META, numbers=[3], trials=4, rounds=2, shapes={"a": shape, "b": {**shape, "maxDepth": 1}})
+    shape = {"max_depth": 2, "rate": 0.1}
+    trained = train(result["folds"], META, numbers=[3], trials=4, rounds=2, shapes={"a": shape, "b": {**shape, "max_depth": 1}})
     assert trained["trials"].count() == 0 and trained["shapes"]["a"] == shape
     assert trained["model_a"].trees[0].depth <= 2 and trained["model_b"].trees[0].depth <= 1

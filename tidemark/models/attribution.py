@@ -1,105 +1,95 @@
 """Additive attribution of boosted trees: exact path-dependent Shapley values for every row.
 
-The model is small and travels with the code; rows stay where they are and keep their key, so a
-contribution is found by key and never by position.
+The trees are a broadcast variable, bounded by rounds times nodes of a tree; rows stay where they are and keep
+their key, so a contribution is found by key and never by position.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.shared import new_path
+from tidemark.models.boosting import Boosted, Tree
 
-# A leaf: its weighted value and, per feature on its path, the interval (low, high] and the share of
-# training rows that would go this way if the feature were unknown.
+# A leaf: its value and, per feature on its path, the interval (low, high] and the share of training rows that
+# would go this way if the feature were unknown.
 Leaf = tuple[float, list[tuple[int, float, float, float]]]
 
 
-def leaf_paths(spark: SparkSession, model) -> tuple[list[Leaf], float]:
-    """All leaves of the model and its expected margin, read from the saved node table."""
-    path = new_path(spark, "model")
-    model.write().overwrite().save(path)
-    nodes: dict[int, dict[int, object]] = {}
-    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():  # model-sized
-        nodes.setdefault(row["treeID"], {})[row["id"]] = row
+def leaf_paths(tree: Tree) -> list[Leaf]:
+    """All leaves of a tree; a feature met twice on a path is one entry."""
     leaves: list[Leaf] = []
-    base = 0.0
-    for tree, weight in zip(sorted(nodes), model.treeWeights):
-        table = nodes[tree]
-        root_cover = table[0]["impurityStats"][0]
-        todo = [(0, {})]
-        while todo:
-            number, bounds = todo.pop()
-            node = table[number]
-            if node["leftChild"] < 0:
-                value = weight * node["prediction"]
-                base += value * node["impurityStats"][0] / root_cover
-                leaves.append((value, [(f, *interval) for f, interval in bounds.items()]))
-                continue
-            feature, cover = node["split"]["featureIndex"], node["impurityStats"][0]
-            threshold = node["split"]["leftCategoriesOrThreshold"][0]
-            low, high, share = bounds.get(feature, (-np.inf, np.inf, 1.0))
-            for child, interval in (
-                (node["leftChild"], (low, min(high, threshold))),
-                (node["rightChild"], (max(low, threshold), high)),
-            ):
-                ratio = table[child]["impurityStats"][0] / cover
-                todo.append((child, {**bounds, feature: (*interval, share * ratio)}))
-    return leaves, base
+    todo: list[tuple[int, dict]] = [(0, {})]
+    while todo:
+        node, bounds = todo.pop()
+        feature = int(tree.feature[node])
+        if feature < 0:
+            leaves.append((float(tree.value[node]), [(f, *interval) for f, interval in bounds.items()]))
+            continue
+        threshold = float(tree.threshold[node])
+        low, high, share = bounds.get(feature, (-np.inf, np.inf, 1.0))
+        for child, interval in (
+            (int(tree.left[node]), (low, min(high, threshold))),
+            (int(tree.right[node]), (max(low, threshold), high)),
+        ):
+            ratio = tree.cover[child] / tree.cover[node]
+            todo.append((child, {**bounds, feature: (*interval, share * ratio)}))
+    return leaves
 
 
 def shapley(matrix: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     """Contribution of every feature for every row of the matrix.
 
-    For one leaf, a coalition knows some features of the path: known ones are met or not by the row,
-    unknown ones pass with their training share. Summing over coalitions by size is the product of
-    (share + met * t) over the other features, read off by powers of t.
+    For one leaf, a coalition knows some features of the path: known ones are met or not by the row, unknown ones
+    pass with their training share. The weight of a coalition of k among d features is the integral of
+    t^k (1 - t)^(d - 1 - k), so the sum over all coalitions is the integral of the product of
+    (t * met + (1 - t) * share) over the other features. Gauss-Legendre points make it exact, and the product of
+    the whole path is formed once and divided by each feature's own factor, which is above 0.
     """
     result = np.zeros_like(matrix)
     for value, path in leaves:
         d = len(path)
         if d == 0 or value == 0.0:
             continue
-        met = [((matrix[:, f] > low) & (matrix[:, f] <= high)).astype("float64") for f, low, high, _ in path]
-        for i, (feature, _, _, share) in enumerate(path):
-            sizes = np.zeros((d, len(matrix)))
-            sizes[0] = 1.0
-            for j, (_, _, _, other) in enumerate(path):
-                if j != i:
-                    sizes[1:] = sizes[1:] * other + sizes[:-1] * met[j]
-                    sizes[0] *= other
-            weights = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
-            result[:, feature] += value * (met[i] - share) * (weights @ sizes)
+        points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        points, weights = (points + 1) / 2, weights / 2
+        # A value without order went right, past every threshold.
+        met = np.stack([~(matrix[:, f] <= low) & ((matrix[:, f] <= high) | (high == np.inf)) for f, low, high, _ in path])
+        share = np.array([s for *_, s in path])[:, None]
+        sums = np.zeros(met.shape)
+        for t, weight in zip(points, weights):
+            factors = t * met + (1 - t) * share
+            sums += weight * factors.prod(axis=0) / factors
+        result[:, [f for f, *_ in path]] += (value * (met - share) * sums).T
     return result
 
 
-def explain(model, df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+def explain(model: Boosted, df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Long table (keys, base_value, feature, value, contribution) of the margin, one row per feature."""
-    leaves, base = leaf_paths(df.sparkSession, model)
-    rows = df.select(*keys, vector_to_array("features").alias("_values"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("_parts", T.ArrayType(T.DoubleType()))])
-
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                parts = shapley(np.stack(batch["_values"].to_numpy()).astype("float64"), leaves)
-                yield batch.assign(_parts=list(parts))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        leaves = [leaf for tree in shared.value.trees for leaf in leaf_paths(tree)]
+        for values in batches:
+            if not len(values):
+                yield pd.Series([], dtype=object)
+                continue
+            yield pd.Series(list(shapley(np.stack(values.to_numpy()).astype("float64"), leaves)))
 
     named = F.arrays_zip(
         F.array(*[F.lit(f) for f in features]).alias("feature"),
         F.col("_values").alias("value"),
         F.col("_parts").alias("contribution"),
     )
-    explained = rows.mapInPandas(attribute, schema)
-    return explained.select(*keys, F.lit(base).alias("base_value"), F.inline(named))
+    rows = df.select(*keys, vector_to_array("features").alias("_values"))
+    explained = rows.withColumn("_parts", attribute("_values"))
+    return explained.select(*keys, F.lit(model.expected()).alias("base_value"), F.inline(named))
 
 
 def importance(contributions: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Learners and calibration on Spark ML.
 
-The two boosted learners stand where the original uses two native boosting libraries: Spark's own
-gradient boosting in two shapes. Metrics are computed alike, fitted numbers differ.
+The two boosted learners are one grower of trees (``boosting``) in the shapes of the two native libraries the
+original uses: one by greatest gain up to a number of leaves, one by level. Fitted numbers differ a little.
 """
 
 from __future__ import annotations
@@ -9,27 +9,27 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.models import boosting
 from tidemark.operators.clean import numeric_columns
 from tidemark.operators.select import align, apply_medians, fit_medians
 from tidemark.sources import config
 
 ROUNDS = 1000
 PATIENCE = 50
-# Shapes of the two boosted learners; a tree of 31 leaves is about 5 levels deep.
-SHAPE_A = {"maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-SHAPE_B = {"maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+# Shapes of the two boosted learners, with the defaults of the native libraries where they set none.
+SHAPE_A = {
+    "max_leaves": 31, "rate": 0.05, "row_share": 0.8, "row_every": 5, "feature_share": 0.8, "min_rows": 20,
+}
+SHAPE_B = {
+    "max_leaves": 0, "max_depth": 6, "rate": 0.05, "row_share": 0.8, "feature_share": 0.8, "l2": 1.0, "min_hessian": 1.0,
+}
 
 # Model inputs may include the age, which pruning protects.
 NEVER_INPUTS = [c for c in config.PROTECTED if c != "age"]
@@ -105,17 +105,6 @@ def train_baseline(train: DataFrame, c: float = 1.0, max_iter: int = 1000, label
     return PipelineModel([scaler, learner.fit(scaler.transform(balanced))])
 
 
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """Round with the least loss before ``patience`` rounds in a row bring none lower, and whether that end was reached."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
 def train_boosted(
     train: DataFrame,
     validation: DataFrame,
@@ -124,27 +113,16 @@ def train_boosted(
     label: str = "label",
     weight: float | None = None,
     patience: int = PATIENCE,
-) -> GBTClassificationModel:
-    """Boosted trees with class weight, cut at the round with the least validation loss.
+    model: boosting.Boosted | None = None,
+) -> boosting.Boosted:
+    """Boosted trees with class weight, cut at the round with the highest validation AUC.
 
-    Rounds are added, doubling their number, until ``patience`` of them in a row bring no lower loss. Spark
-    cannot go on with a fitted model, so each stage starts anew; equal seeds grow equal first trees.
+    A given ``model`` is continued. ``shape`` holds fields of ``boosting.Shape``.
     """
     weight = positive_weight(train, label=label) if weight is None else weight
     rows = weighted(train.select("features", label), weight, label)
     held_out = weighted(validation.select("features", label), weight, label)
-
-    def fitted(n: int) -> GBTClassificationModel:
-        learner = GBTClassifier(labelCol=label, weightCol="weight", maxIter=n, seed=config.SEED, **(shape or SHAPE_A))
-        return learner.fit(rows)
-
-    n = min(rounds, 2 * patience)
-    while True:
-        model = fitted(n)
-        best, ended = best_round(model.evaluateEachIteration(held_out), patience)
-        if ended or n >= rounds:
-            return model if best == n else fitted(best)
-        n = min(2 * n, rounds)
+    return boosting.boost(rows, held_out, boosting.Shape(**(shape or SHAPE_A)), rounds, patience, label, model=model)
 
 
 class Calibrator:
@@ -196,4 +174,6 @@ class Calibrator:
 
 def with_probability(model, df: DataFrame, name: str) -> DataFrame:
     """Rows with the probability of class 1 under the model."""
+    if isinstance(model, boosting.Boosted):
+        return model.with_probability(df.drop(name), name)
     return model.transform(df).select(*[c for c in df.columns if c != name], probability().alias(name))

@@ -13,42 +13,50 @@ from tidemark.operators.evaluate import roc_auc
 from tidemark.sources import config
 
 SEARCH_ROUNDS = 500
-# Ranges as (low, high, kind). The leaf counts 15 to 127 are 4 to 7 levels. The L1 and
-# L2 penalties of the native learners have no counterpart in Spark's boosting.
+# Ranges as (low, high, kind), or a value that every trial has.
 SPACE_A = {
-    "maxDepth": (4, 7, "int"),
-    "stepSize": (0.01, 0.2, "log"),
-    "featureSubsetStrategy": (0.5, 1.0, "float"),
-    "subsamplingRate": (0.5, 1.0, "float"),
-    "minInstancesPerNode": (5, 100, "int"),
+    "max_leaves": (15, 127, "int"),
+    "rate": (0.01, 0.2, "log"),
+    "feature_share": (0.5, 1.0, "float"),
+    "row_share": (0.5, 1.0, "float"),
+    "row_every": 5,
+    "min_rows": (5, 100, "int"),
+    "l1": (0.0, 1.0, "float"),
+    "l2": (0.0, 1.0, "float"),
 }
 SPACE_B = {
-    "maxDepth": (3, 12, "int"),
-    "stepSize": (0.01, 0.2, "log"),
-    "subsamplingRate": (0.5, 1.0, "float"),
-    "featureSubsetStrategy": (0.5, 1.0, "float"),
-    "minInstancesPerNode": (1, 5, "int"),
+    "max_leaves": 0,
+    "max_depth": (3, 12, "int"),
+    "rate": (0.01, 0.2, "log"),
+    "row_share": (0.5, 1.0, "float"),
+    "feature_share": (0.5, 1.0, "float"),
+    "min_hessian": (1, 5, "int"),
+    "l1": (0.0, 1.0, "float"),
+    "l2": (0.0, 1.0, "float"),
 }
 
 
-def draw(space: dict[str, tuple], rng: random.Random) -> dict:
-    """One point of the space; Spark takes the feature share as text."""
+def draw(space: dict[str, object], rng: random.Random) -> dict:
+    """One point of the space."""
     point = {}
-    for name, (low, high, kind) in space.items():
+    for name, wanted in space.items():
+        if not isinstance(wanted, tuple):
+            point[name] = wanted
+            continue
+        low, high, kind = wanted
         if kind == "int":
-            value = rng.randint(low, high)
+            point[name] = rng.randint(low, high)
         elif kind == "log":
-            value = math.exp(rng.uniform(math.log(low), math.log(high)))
+            point[name] = math.exp(rng.uniform(math.log(low), math.log(high)))
         else:
-            value = rng.uniform(low, high)
-        point[name] = f"{value:.4f}" if name == "featureSubsetStrategy" else value
+            point[name] = rng.uniform(low, high)
     return point
 
 
 def random_search(
     train: DataFrame,
     validation: DataFrame,
-    space: dict[str, tuple],
+    space: dict[str, object],
     trials: int = config.SEARCH_TRIALS,
     rounds: int = SEARCH_ROUNDS,
     seed: int = config.SEED,

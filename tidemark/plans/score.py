@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.models.attribution import explain
+from tidemark.models.boosting import Boosted
 from tidemark.models.learners import Calibrator, Inputs
 from tidemark.operators.clean import clean
 from tidemark.operators.match import match_sources
@@ -26,8 +26,8 @@ def load_trained(spark: SparkSession, out: str, fold: int = 3) -> dict[str, obje
     saved = read_report(spark, f"{folder}/inputs")
     return {
         "inputs": Inputs(saved["features"], saved["medians"]),
-        "model_a": GBTClassificationModel.load(f"{folder}/model_a"),
-        "model_b": GBTClassificationModel.load(f"{folder}/model_b"),
+        "model_a": Boosted.load(spark, f"{folder}/model_a"),
+        "model_b": Boosted.load(spark, f"{folder}/model_b"),
         "calibrator": Calibrator.load(f"{folder}/calibrator", saved["method"]),
     }
 

@@ -112,8 +112,8 @@ def train(
         metrics.append(keep(measured.withColumn("fold", F.lit(n)), "metrics"))
         importance.append(keep(explained["importance"].withColumn("fold", F.lit(n)), "importance"))
         if out:
-            model_a.write().overwrite().save(f"{out}/fold_{n}/model_a")
-            model_b.write().overwrite().save(f"{out}/fold_{n}/model_b")
+            model_a.save(folds.sparkSession, f"{out}/fold_{n}/model_a")
+            model_b.save(folds.sparkSession, f"{out}/fold_{n}/model_b")
             calibrator.save(f"{out}/fold_{n}/calibrator")
             write_report(folds.sparkSession, {**inputs.as_report(), "method": method}, f"{out}/fold_{n}/inputs")
             write_table(explained["contributions_a"], f"{out}/fold_{n}/contributions_a")

@@ -16,7 +16,7 @@ from tidemark.shared import keep
 INPUTS = ["largest", "orders", "score", "value"]
 META = ["row_id", "entity", "tier", "period", "target_tier"]
 ROUNDS = 10
-_SMALL = {"maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+_SMALL = {"max_leaves": 0, "max_depth": 3, "rate": 0.1, "row_share": 0.8, "feature_share": 0.8}
 
 
 def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +107,7 @@ def calibrate_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("random_search", texts="parameters", doubles="auc")
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, splits = second_fold(spark, sf_dir)
-    space = {**search.SPACE_A, "maxDepth": (2, 4, "int")}
-    _, trials = search.random_search(splits["train"], splits["val"], space, 3, 5)
+    _, trials = search.random_search(splits["train"], splits["val"], search.SPACE_A, 3, 5)
     rows = [(str(sorted(point.items())), auc) for point, auc in trials]
     return spark.createDataFrame(rows, "parameters string, auc double")
 
@@ -119,10 +118,25 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.explain(boosted(splits), splits["test"], ["row_id"], inputs.features)
 
 
+@query(
+    "attribution_total",
+    f"SELECT row_id, 1 AS adds_up FROM ({SCORED_SQL}) AS s WHERE period = {FOLDS[1][3]}",
+    ints="row_id adds_up",
+)
+def attribution_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether base value and contributions of a test row add up to its margin."""
+    inputs, splits = second_fold(spark, sf_dir)
+    model = boosted(splits)
+    parts = attribution.explain(model, splits["test"], ["row_id"], inputs.features)
+    totals = parts.groupBy("row_id").agg((F.first("base_value") + F.sum("contribution")).alias("total"))
+    joined = model.transform(splits["test"].select("row_id", "features")).join(totals, "row_id", "left")
+    return joined.select("row_id", F.coalesce(F.abs(F.col("total") - F.col("margin")) < 1e-9, F.lit(False)).cast("int").alias("adds_up"))
+
+
 @query("combined_importance", texts="feature", doubles="importance")
 def combined_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, splits = second_fold(spark, sf_dir)
-    first, second = boosted(splits), boosted(splits, {**_SMALL, "maxDepth": 4})
+    first, second = boosted(splits), boosted(splits, {**_SMALL, "max_depth": 4})
     tables = attribution.generate_explanations(first, second, splits["test"], ["row_id"], inputs.features)
     return tables["importance"]
 
@@ -224,7 +238,7 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last test year scored with models of the fold before; one input is missing there."""
     folds = fold_rows(spark, sf_dir)
     inputs, splits = train.load_fold(folds, 2, INPUTS)
-    first, second = boosted(splits), boosted(splits, {**_SMALL, "maxDepth": 4})
+    first, second = boosted(splits), boosted(splits, {**_SMALL, "max_depth": 4})
     _, _, calibrator = train.evaluate_fold(first, second, splits, META, "row_id")
     fresh = folds.where("fold = 3 AND split = 'test'").drop("largest")
     return score.score(fresh, inputs, first, second, calibrator, ["row_id"])[0]
@@ -233,7 +247,7 @@ def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fold_metrics", texts="model metric", doubles="value")
 def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, splits = second_fold(spark, sf_dir)
-    first, second = boosted(splits), boosted(splits, {**_SMALL, "maxDepth": 4})
+    first, second = boosted(splits), boosted(splits, {**_SMALL, "max_depth": 4})
     return train.evaluate_fold(first, second, splits, META, "row_id", "isotonic")[1]
 
 

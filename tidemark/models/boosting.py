@@ -154,17 +154,16 @@ def edges(rows: DataFrame, width: int, bins: int = BINS) -> list[np.ndarray]:
 
     The quantile summary is exact up to 10,000 rows and within 1/10,000 of the rank beyond.
     """
-    values = rows.select(vector_to_array("features").alias("v"))
+    values = rows.select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
     shares = [i / bins for i in range(1, bins)]
-    found = values.agg(
-        *[F.percentile_approx(F.col("v")[i], shares, F.lit(10000)).alias(f"q{i}") for i in range(width)],
-        *[F.max(F.col("v")[i]).alias(f"m{i}") for i in range(width)],
-    ).first()
-    cuts = []
-    for i in range(width):
-        distinct = np.unique(np.array(found[f"q{i}"] or [], dtype="float64"))
+    found = values.groupBy("feature").agg(
+        F.percentile_approx("value", shares, F.lit(10000)).alias("cuts"), F.max("value").alias("greatest")
+    )
+    cuts = [np.empty(0)] * width
+    for row in found.collect():  # one row per feature
+        distinct = np.unique(np.array(row["cuts"], dtype="float64"))
         # The greatest value needs no cut above it, unless values without order follow.
-        cuts.append(distinct[~(distinct >= found[f"m{i}"]) & ~np.isnan(distinct)])
+        cuts[row["feature"]] = distinct[~(distinct >= row["greatest"]) & ~np.isnan(distinct)]
     return cuts
 
 

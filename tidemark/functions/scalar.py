@@ -56,8 +56,8 @@ def parse_height_cm(text: Column) -> Column:
 
 
 def extract(text: Column, pattern: str) -> Column:
-    """First group of the pattern, NULL instead of an empty string where nothing matches."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    """First group of the pattern, NULL instead of an empty string where nothing matches. The text is searched once."""
+    return F.get(F.array_remove(F.array(F.regexp_extract(text, pattern, 1)), ""), F.lit(0))
 
 
 def safe_cast(value: Column, to: str, default=None) -> Column:

@@ -54,11 +54,22 @@ def uncomment_tables(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--\s*(<div\b[^>]*\btable_container\b.*?)-->", "$1")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text_of(html: Column) -> Column:
     """Text without tags and outer blanks, character references resolved."""
-    plain = F.when(html.contains("<"), F.regexp_replace(html, r"<[^>]*>", "")).otherwise(html)
-    resolved = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), REFERENCES.items(), plain)
-    return F.trim(F.when(plain.contains("&"), resolved).otherwise(plain), F.lit(" \t\r\n\f\u00a0"))
+
+    def plain(whole: Column) -> Column:
+        return F.when(whole.contains("<"), F.regexp_replace(whole, r"<[^>]*>", "")).otherwise(whole)
+
+    def resolved(text: Column) -> Column:
+        found = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), REFERENCES.items(), text)
+        return F.trim(F.when(text.contains("&"), found).otherwise(text), F.lit(" \t\r\n\f\u00a0"))
+
+    return _let(_let(html, plain), resolved)
 
 
 def number_in(html: Column) -> Column:
@@ -73,10 +84,6 @@ _ATTRIBUTE = (
 _BLOCK = 64
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _running(changes: Column) -> Column:
     """Running total of an array of numbers, in blocks, so that many numbers stay cheap."""
 
@@ -128,24 +135,25 @@ def table_body(segments: Column, attribute: str, value: str, cells: bool = True)
         return F.array_position(F.transform(segments, lambda s: s["part"].rlike(opened)), True)
 
     def own(start: Column) -> Column:
-        depth = F.get(segments, start - 1)["depth"]
         later = F.slice(segments, start, F.greatest(F.size(segments) - start + 1, F.lit(0)))
-        closed = F.array_position(F.transform(later, lambda s: s["depth"] < depth), True).cast("int")
-        inside = F.when(closed > 0, F.slice(later, F.lit(1), F.greatest(closed - 1, F.lit(0)))).otherwise(later)
-        parts = F.transform(
-            inside,
-            lambda s: F.when(s["depth"] > depth, F.regexp_replace(s["part"], rf"(?i)<(/?)({nested})\b", "<$1x-$2")).otherwise(
-                F.regexp_replace(s["part"], r"(?i)^</table\b", "</x-table")
-            ),
-        )
-        body = r"(?is)<tbody\b[^>]*>(.*?)(?:</tbody\s*>|\z)"
-        return F.when(start > 0, extract(F.array_join(parts, ""), body))
+
+        def body(rest: Column) -> Column:
+            depth = rest[0]["depth"]
+            closed = F.array_position(F.transform(rest, lambda s: s["depth"] < depth), True).cast("int")
+            parts = F.transform(
+                _let(closed, lambda end: F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)),
+                lambda s: F.when(s["depth"] > depth, F.regexp_replace(s["part"], rf"(?i)<(/?)({nested})\b", "<$1x-$2"))
+                .when(s["part"].startswith("</"), F.regexp_replace(s["part"], r"(?i)^</table\b", "</x-table"))
+                .otherwise(s["part"]),
+            )
+            return extract(F.array_join(parts, ""), r"(?is)<tbody\b[^>]*>(.*?)(?:</tbody\s*>|\z)")
+
+        return F.when(start > 0, _let(later, body))
 
     if attribute == "class":
         found = place(rf"(?:[^\"]*\s)?{value}(?:\s[^\"]*)?")
     else:
-        exact = place(value)
-        found = F.when(exact > 0, exact).otherwise(place(rf"[^\"]*{value}[^\"]*"))
+        found = _let(place(value), lambda exact: F.when(exact > 0, exact).otherwise(place(rf"[^\"]*{value}[^\"]*")))
     return _let(found.cast("int"), own)
 
 
@@ -177,20 +185,27 @@ def player_rows(pages: DataFrame, tables: list[str]) -> DataFrame:
     )
     found = visible.select(*kept, F.inline(bodies)).where(F.col("_body").isNotNull())
     rows = table_rows(found, F.col("_body")).drop("_body")
-    pattern = F.lit(r'(?is)<t[hd]\b[^>]*\bdata-stat="([^"]*)"[^>]*>(.*?)(?=</?t[hdr]\b|\z)')
-    cells = rows.withColumns(
-        {
-            "names": F.regexp_extract_all("row_html", pattern, F.lit(1)),
-            "cells": F.regexp_extract_all("row_html", pattern, F.lit(2)),
-            "_count": F.size(F.regexp_extract_all("row_html", F.lit(r"(?i)(<t[hd]\b)"), F.lit(1))),
-        }
-    )
-    player = F.get("cells", (F.array_position("names", "player") - 1).cast("int"))
-    linked = cells.withColumn("player_id", extract(player, rf'(?i:href)="[^"]*{PLAYER_ID}'))
-    numbers = F.transform("cells", number_in)
-    return linked.where(
-        F.col("player_id").isNotNull() & ((F.col("table") != "stats_standard") | (F.col("_count") >= 10))
-    ).select(*kept, "table", "row_no", "player_id", "names", "cells", numbers.alias("numbers"))
+    row = F.col("row_html")
+    whole = F.regexp_extract_all(row, F.lit(r'(?is)<t[hd]\b[^>]*\bdata-stat="[^"]*"[^>]*>.*?(?=</?t[hdr]\b|\z)'), F.lit(0))
+    tag = r'(?is)\A<t[hd]\b[^>]*\bdata-stat="([^"]*)"[^>]*>(.*)\z'
+
+    def named(found: Column) -> Column:
+        names, cells = [F.transform(found, lambda c: F.regexp_extract(c, tag, group)) for group in (1, 2)]
+        return F.struct(names.alias("names"), cells.alias("cells"))
+
+    def linked(own: Column) -> Column:
+        player = F.get(own["cells"], (F.array_position(own["names"], "player") - 1).cast("int"))
+        return F.struct(
+            extract(player, rf'(?i:href)="[^"]*{PLAYER_ID}').alias("player_id"),
+            own["names"].alias("names"),
+            own["cells"].alias("cells"),
+            F.transform(own["cells"], number_in).alias("numbers"),
+        )
+
+    enough = F.size(F.regexp_extract_all(row, F.lit(r"(?i)(<t[hd]\b)"), F.lit(1))) >= 10
+    valid = lambda own: own["player_id"].isNotNull() & ((F.col("table") != "stats_standard") | enough)
+    # A row is taken apart inside the generator: as a filter on columns it would be for every use of them.
+    return rows.select(*kept, "table", "row_no", F.inline(F.filter(F.array(_let(_let(whole, named), linked)), valid)))
 
 
 def _value(row: str, field: str, name: str) -> Column:
@@ -258,25 +273,36 @@ def listing_records(pages: DataFrame) -> DataFrame:
     row = F.col("row_html")
     cell = r'(?s)(?i:<td)\b[^>]*(?i:class)="{}"[^>]*>'
     link = extract(row, cell.format(r'[^"]*\bhauptlink\b[^"]*') + r"(?i:.*?(<a\b.*?</a>))")
-    href = extract(link, r'(?i)href="([^"]*)"')
     texts = F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<td\b[^>]*>(.*?)(?=</?t[dr]\b|\z)"), F.lit(1)), text_of)
     position = F.get(F.filter(texts, lambda t: t.isin(config.LISTED_POSITIONS)), F.lit(0))
     age = text_of(extract(row, cell.format(r'[^"]*\bzentriert\b[^"]*') + r"(.*?)(?i:(?=</?t[dr]\b|\z))"))
     team = extract(row, r'(?s)((?i:<a)\b[^>]*(?i:class)="[^"]*\bvereinprofil_tooltip\b[^"]*".*?(?i:</a>))')
-    return rows.select(
+    worth = text_of(extract(row, cell.format("rechts hauptlink") + r"(.*?)(?i:(?=</?t[dr]\b|\z))"))
+
+    def named(own: Column) -> Column:
+        return _let(
+            extract(own, r'(?i)href="([^"]*)"'),
+            lambda href: F.struct(
+                extract(href, LISTED_ID).alias("player_id"),
+                extract(href, LISTED_SLUG).alias("player_slug"),
+                text_of(own).alias("name"),
+            ),
+        )
+
+    # A row is searched inside the generator: as a filter on columns it would be for every use of them.
+    linked = F.inline(F.filter(F.array(_let(link, named)), lambda own: own["player_id"].isNotNull()))
+    return rows.select(*kept, "row_no", "row_html", linked).select(
         *kept,
         "row_no",
-        extract(href, LISTED_ID).alias("player_id"),
-        extract(href, LISTED_SLUG).alias("player_slug"),
-        text_of(link).alias("name"),
+        "player_id",
+        "player_slug",
+        "name",
         position.alias("position"),
-        F.when(age.rlike(r"^\d+$"), age.cast("int")).alias("age"),
+        _let(age, lambda t: F.when(t.rlike(r"^\d+$"), t.cast("int"))).alias("age"),
         extract(row, r'(?i:<img)\b[^>]*(?i:class)="[^"]*\bflaggenrahmen\b[^"]*"[^>]*(?i:title)="([^"]*)"').alias("nationality"),
-        F.coalesce(extract(team, r'^(?i:<a)\b[^>]*(?i:title)="([^"]*)"'), text_of(team)).alias("team"),
-        parse_money(
-            text_of(extract(row, cell.format("rechts hauptlink") + r"(.*?)(?i:(?=</?t[dr]\b|\z))"))
-        ).alias("market_value_eur"),
-    ).where(F.col("player_id").isNotNull())
+        _let(team, lambda t: F.coalesce(extract(t, r'^(?i:<a)\b[^>]*(?i:title)="([^"]*)"'), text_of(t))).alias("team"),
+        _let(worth, parse_money).alias("market_value_eur"),
+    )
 
 
 def first_listed(records: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

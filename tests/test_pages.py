@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.catalog import source_queries
 from tidemark.functions import scalar
 from tidemark.sources import pages
 
@@ -134,6 +135,23 @@ def test_depth_of_many_tables(frame):
     assert [s["depth"] for s in found if s["part"].lower().lstrip("</").startswith("table")] == expected
 
 
+def test_rows_are_searched_once(frame):
+    """Filters and columns share what they find in a row; each pattern stands once in the plan."""
+    df = frame([(1, PAGE)], "page_id int, html string")
+    plan = lambda found: found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(pages.listing_records(df)).count(r"\bhauptlink\b") == 1
+    assert plan(pages.player_rows(df, ["stats_standard"])).count("data-stat=") == 3
+    assert plan(df.select(scalar.extract(F.col("html"), "needle(.)").alias("x"))).count("needle") == 1
+
+
+def test_listing_pages_are_spread(spark, tmp_path):
+    row = "id AS p_partkey, 'a b' AS p_name, 'brand' AS p_brand, 'type' AS p_type, 30 AS p_size, 12.5D AS p_retailprice"
+    spark.range(0, 500, numPartitions=1).selectExpr(*row.split(", ")).write.parquet(f"{tmp_path}/part.parquet")
+    found = source_queries.listing_pages(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert pages.listing_records(found).count() == 500
+
+
 def test_first_page_wins(frame):
     df = frame([(2, "7", "late"), (1, "7", "early")], "page_no int, player_id string, name string")
     assert pages.first_listed(df, ["player_id"], [F.col("page_no").asc()]).first()["name"] == "early"

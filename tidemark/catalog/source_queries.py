@@ -468,7 +468,8 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         price,
         F.lit("</td></tr></tbody></table></td></tr></TABLE>"),
     )
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    parts = read(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey", "p_name")
+    return parts.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 @query(

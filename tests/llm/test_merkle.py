@@ -101,3 +101,20 @@ def test_a_change_is_noticed(spark):
     before = merkle.manifest(frame(spark, rows)).first().root
     assert merkle.manifest(frame(spark, list(reversed(rows)))).first().root == before
     assert merkle.manifest(frame(spark, [*rows[:-1], (39, "s", "en", 1, "text 39")])).first().root != before
+
+
+def test_digests_travel_as_bytes(spark, monkeypatch):
+    """What climbs is half as wide as text, and a digest that several leaves share climbs once."""
+    kept, keep = {}, merkle.keep
+
+    def noted(df, label):
+        kept[label] = keep(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(merkle, "keep", noted)
+    rows = [(i, "s", "en", 1, f"Text {i}") for i in range(16)]
+    assert len(check(spark, rows)) == 16
+    changed = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(16))
+    climbed = kept["climbed"].first()
+    assert len(climbed["folded"]) == changed + 1 and {type(x) for x in climbed["folded"]} <= {bytes, bytearray}
+    assert dict(kept["leaves"].dtypes)["leaf"] == "binary"

@@ -111,3 +111,17 @@ def test_bands_meet_just_above_the_limit():
         right.append(np.concatenate([union[:common], union[common + only :]]))
     keys = [near_dedup.band_keys(near_dedup.sketches(np.concatenate(s), np.repeat(np.arange(2000), [len(x) for x in s]), 2000)) for s in (left, right)]
     assert (keys[0] == keys[1]).any(axis=1).all()
+
+
+def test_sets_are_no_keys_of_a_join(spark, odd, monkeypatch):
+    """Sets are made once from the joined texts; as keys of the join they were made again for each use."""
+    plans, keep = {}, near_dedup.keep
+
+    def noted(df, label="stage"):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, label)
+
+    monkeypatch.setattr(near_dedup, "keep", noted)
+    near_dedup.link(odd).collect()
+    joins = [line for line in plans["sets"].splitlines() if "Join" in line]
+    assert joins and not any("xxhash64" in line for line in joins)

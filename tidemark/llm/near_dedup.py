@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from tidemark.llm.common import let, shingles, words
+from tidemark.llm.common import let, runs, words
 from tidemark.shared import keep
 
 BINS = 128
@@ -81,10 +81,19 @@ def _banded(sets: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * (BINS // BAND), pa.array(keys.ravel()))
 
 
+def _lowered(word: Column) -> Column:
+    """A-Z in lower case. A word of ASCII alone, as most are, takes the cheaper function."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
+
+
 def shingle_set(text: Column, size: int) -> Column:
-    """Sorted distinct hashes of the runs of ``size`` words, A-Z in lower case."""
-    plain = F.translate(text, _UPPER, _LOWER)
-    return F.sort_array(F.array_distinct(let(words(plain), lambda own: shingles(own, size))))
+    """Sorted distinct hashes of the runs of ``size`` words, A-Z in lower case; fewer words are one run."""
+
+    def shingles(own: Column) -> Column:
+        short = F.when(F.size(own) > 0, F.array(F.xxhash64(own))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(own) >= size, runs(own, size)).otherwise(short)
+
+    return F.sort_array(F.array_distinct(let(F.transform(words(text), lambda w: F.xxhash64(_lowered(w))), shingles)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,9 +206,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     first = keep(first.select(F.col("head").alias("a"), F.col("rep").alias("b")), "pairs")
     wanted = classes.select("rep", "k1", "k2").join(met.select("rep").distinct(), "rep")
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("rep.id"))
-    found = texts.select("rep", "k1", "k2", shingle_set(F.col("_text"), size).alias("set"))
-    sets = found.where((F.xxhash64("set") == F.col("k1")) & (F.xxhash64(F.lit(1), F.col("set")) == F.col("k2")))
-    sets = keep(sets.select("rep", "set").dropDuplicates(["rep"]), "sets")
+    # Inside a generator: as a condition on columns it would become keys of the join, and the sets be made for each of them.
+    own = lambda found: (F.xxhash64(found) == F.col("k1")) & (F.xxhash64(F.lit(1), found) == F.col("k2"))
+    sets = texts.select("rep", F.explode(F.filter(F.array(shingle_set(F.col("_text"), size)), own)).alias("set"))
+    sets = keep(sets.dropDuplicates(["rep"]), "sets")
     linked = keep(_confirmed(first, sets, percent), "links")
     tied = components(linked)
     placed = met.join(tied.withColumnRenamed("node", "rep"), "rep", "left")

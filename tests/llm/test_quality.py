@@ -101,3 +101,18 @@ def test_fit_equals_brute_force(spark):
 def test_equal_rows_stay_apart(spark):
     docs = wide(spark, [(1, prose(1, 20), None)] * 3 + [(1, prose(2, 20), None), (None, None, None), (None, None, None)])
     assert quality.judge(docs, quality.QualityModel((1.0,) * 8, 0.0, 4)).count() == 6
+
+
+def test_only_trusted_texts_are_judged_in_fit(spark, monkeypatch):
+    """The base rules stand above the join with the trusted ids, not below it, where all texts would be counted."""
+    plans, scored = [], quality._scored
+
+    def noted(rows, *more):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return scored(rows, *more)
+
+    monkeypatch.setattr(quality, "_scored", noted)
+    docs = wide(spark, [(i, prose(i, 30), None) for i in range(20)])
+    quality.fit(docs, spark.createDataFrame([(i,) for i in range(10)], "doc_id long"), buckets=64)
+    above, below = plans[0].split("Join", 1)
+    assert "array_distinct" in above and "array_distinct" not in below

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, sampled_rows, words
+from tidemark.llm.common import let, runs, sampled_rows, words
 from tidemark.shared import keep
 
 SYMBOLS = "#*$%&|<>"
@@ -46,7 +46,7 @@ def _repeated(own: Column) -> Column:
         ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(ordered, again)).otherwise(F.lit(0))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(own) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(own, i, WINDOW)))
+    windows = let(F.transform(own, lambda w: F.xxhash64(w)), lambda hashes: runs(hashes, WINDOW))
     return F.when(F.size(own) > WINDOW, let(windows, counted)).otherwise(F.lit(0))
 
 
@@ -68,7 +68,7 @@ def base_counts(text: Column) -> Column:
         lambda own: F.struct(
             own["n_words"].alias("n_words"),
             own["word_chars"].alias("word_chars"),
-            (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.regexp_replace(whole, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
             repeats.cast("long").alias("n_dup_lines"),
             own["n_repeat_words"].alias("n_repeat_words"),
         ),
@@ -142,7 +142,8 @@ def fit(
     unseen = np.concatenate([_ratios(whole - own, every) for own in good])
     # The counts are taken once, inside the condition: as columns they would be counted for every use of them.
     passes = let(base_counts(F.col("text")), lambda n: ~_failed(n["n_words"], n["n_repeat_words"]))
-    rows = marked.where("side > 0").where(passes).select((F.col("side") - 1).alias("fold"), "text", F.size(words(F.col("text"))).alias("n_words"))
+    # The side is part of the condition: a condition on texts alone would be tried on all of them, before the join.
+    rows = marked.where(F.when(F.col("side") > 0, passes)).select((F.col("side") - 1).alias("fold"), "text", F.size(words(F.col("text"))).alias("n_words"))
     found = _scored(rows, ["fold", "n_words"], unseen, buckets, steady)
     steps = found.select(F.floor(F.col("likeness") * _STEP).alias("step"))
     least = steps.agg(F.expr(f"percentile_disc({1 - pass_share!r}) WITHIN GROUP (ORDER BY step)")).first()[0]

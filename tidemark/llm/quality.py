@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,10 @@ _UNIT = 1_000_000
 _STEP = 10_000
 
 
+#: Buckets of a text that are looked up and summed as one row.
+_CHUNK = 8
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Log-likelihood ratio of trusted text against the corpus for every n-gram bucket, and the least mean that passes."""
@@ -93,6 +99,12 @@ def _exploded(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return rows.select(*keys, F.explode_outer(of_words_once(F.col("text"), lambda own: grams(own, buckets))).alias("bucket"))
 
 
+def _chunked(found: Column) -> Column:
+    """The buckets of a text in arrays of ``_CHUNK``; null for a text without words."""
+    last = F.floor((F.size(found) - 1) / _CHUNK).cast("int")
+    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i * _CHUNK + 1, _CHUNK)))
+
+
 def _counted(rows: DataFrame, buckets: int, sides: int) -> np.ndarray:
     """Counts by side and bucket; a column side names the side of a row. Counts are united in each task."""
     own = _exploded(rows, ["side"], buckets).where("bucket IS NOT NULL")
@@ -156,17 +168,21 @@ def _scored(rows: DataFrame, keys: list[str], table: np.ndarray, buckets: int, s
     The likeness is the sum of the ratios of a text's n-grams, divided by their number and a constant that
     steadies short texts. A column fold chooses among several tables of ratios, laid end to end. The table
     reaches the workers as the value of a subquery, four bytes a bucket. N-grams are summed where they are
-    made, so that about one row per text is shuffled; the sums are of whole numbers, whatever their order.
+    made, a few to a row, so that about one row per text is shuffled; the sums are of whole numbers, whatever their order.
     """
     one = pa.table({"ratios": pa.ListArray.from_arrays(np.array([0, len(table)], np.int32), pa.array(table, pa.int32()))})
     ratios = rows.sparkSession.createDataFrame(one).scalar()
-    place = F.col("bucket") + F.col("fold") * F.lit(buckets) if "fold" in keys else F.col("bucket")
+    first = F.col("fold") * F.lit(buckets) if "fold" in keys else F.lit(0)
     own = [*keys, "_key"]
-    each = _exploded(rows.select(*keys, F.xxhash64("text").alias("_key"), "text"), own, buckets)
-    each = each.select(*own, F.get(ratios, place).cast("long").alias("ratio"))
+    chunks = of_words_once(F.col("text"), lambda words: let(grams(words, buckets), _chunked))
+    each = rows.select(*keys, F.xxhash64("text").alias("_key"), "text").select(*own, F.explode_outer(chunks).alias("chunk"))
+    ratio = lambda i: F.coalesce(F.get(ratios, F.get("chunk", F.lit(i)) + first).cast("long"), F.lit(0).cast("long"))
+    each = each.select(
+        *own, reduce(add, map(ratio, range(_CHUNK))).alias("ratio"), F.when(F.col("chunk").isNull(), 1).otherwise(F.size("chunk")).alias("size")
+    )
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     # Rows that are equal in all of this have met in one sum.
-    sums = each.groupBy(*own).agg(F.coalesce(F.sum("ratio"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("found"))
+    sums = each.groupBy(*own).agg(F.sum("ratio").alias("total"), F.sum("size").alias("found"))
     copies = (F.col("found") / F.greatest(n, F.lit(1))).cast("int")
     mean = F.col("total") / copies / float(_UNIT) / (n + F.lit(steady))
     return sums.select(*keys, F.explode(F.array_repeat(F.round(mean, 9), copies)).alias("likeness"))
